@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe_round_trip
 from .token_counts import op9_token_counts
+from .token_planes import op4_token_planes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_bpe_round_trip,
+        op4_token_planes,
         op9_token_counts,
     )
 }
