@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe_round_trip
 from .token_counts import op9_token_counts
 from .token_planes import op4_token_planes
+from .warc import ORACLE_SQL as WARC_SQL
+from .warc import op7_warc_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_bpe_round_trip,
         op4_token_planes,
+        op7_warc_chunks,
         op9_token_counts,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_warc_chunks": WARC_SQL}
