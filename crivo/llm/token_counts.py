@@ -2,10 +2,11 @@
 
 Each task turns a run of documents into one block: the block's distinct pre-tokens, and for each
 document the places of its pre-tokens in that list with their frequencies (compressed). Blocks
-are written once to the shared folder. Their lists, a small part of the corpus, are reduced to the
-distinct pre-tokens of all documents, whose pieces are counted once each; the counts are joined to
-the lists, gathered per block (as bounded as the block is) and multiplied by the frequencies. No
-id is ever stored, and a pre-token that half of the corpus uses takes a row per block, not per use.
+are written once to the shared folder. Their lists, a small part of the corpus, are dealt by
+pre-token, so that the pieces of each distinct one are counted once; the counts go back to the
+places in the lists, are gathered per block (as bounded as the block is), joined to the block and
+multiplied by the frequencies. No id is ever stored, and a pre-token that half of the corpus uses
+takes a row per block, not per use.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import ragged, slices, stored, table
 #: Bytes of text in a block.
 BLOCK_BYTES = 8_000_000
 
-_BLOCK = "block string, docs array<struct<doc_id:bigint,n_bytes:bigint,n_distinct:int>>, places binary, times binary, pretokens array<string>"
+_BLOCK = "block long, docs array<struct<doc_id:bigint,n_bytes:bigint,n_distinct:int>>, places binary, times binary, pretokens array<string>"
 
 
 def blocks(docs: DataFrame, vocabulary: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -51,33 +52,36 @@ def blocks(docs: DataFrame, vocabulary: str, block_bytes: int = BLOCK_BYTES) ->
                 distinct = np.bincount(pair >> 32, minlength=len(texts))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "block": [f"{task}-{n}"],
+                        "block": [task << 20 | n],
                         "docs": [[{"doc_id": i, "n_bytes": 0 if t is None else len(t.encode()), "n_distinct": k} for i, t, k in zip(part.column(0).to_pylist(), texts, distinct.tolist(), strict=True)]],
                         "places": [pack(np.diff(place, prepend=0).astype(np.int32).tobytes())],
                         "times": [pack(times.astype(np.uint32).tobytes())],
                         "pretokens": [[words[i] for i in used.tolist()]],
                     },
-                    pa.schema([("block", pa.string()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_distinct", pa.int32())]))), ("places", pa.binary()), ("times", pa.binary()), ("pretokens", pa.list_(pa.string()))]),
+                    pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_distinct", pa.int32())]))), ("places", pa.binary()), ("times", pa.binary()), ("pretokens", pa.list_(pa.string()))]),
                 )
                 n += 1
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BLOCK)
 
 
-def piece_counts(pretokens: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows (pretoken, n): the tokens of each pre-token. The input has each once."""
+def piece_counts(slots: DataFrame, vocabulary: str) -> DataFrame:
+    """Rows (slot, n) from rows (slot, pretoken): the pre-tokens come together and each is counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(vocabulary, "ids")
+        bpe, last = byte_bpe(vocabulary, "ids"), (None, 0)
         for batch in batches:
-            for part in slices(batch, 0):
-                words = part.column(0).to_pylist()
-                n = np.ones(len(words), np.int64)
-                plain = [i for i, w in enumerate(words) if w not in bpe.special]
-                n[plain] = bpe.merge([words[i] for i in plain])[1]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32))], names=["pretoken", "n"])
+            words = batch.column(1).dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            n = np.ones(len(distinct), np.int64)
+            plain = [i for i, w in enumerate(distinct) if w not in bpe.special and w != last[0]]
+            n[plain] = bpe.merge([distinct[i] for i in plain])[1]
+            if distinct and distinct[0] == last[0]:
+                n[0] = last[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n[words.indices.to_numpy()].astype(np.int32))], names=["slot", "n"])
+            last = (distinct[-1], n[-1]) if distinct else last
 
-    return pretokens.mapInArrow(run, "pretoken string, n int")
+    return slots.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(run, "slot long, n int")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
@@ -87,10 +91,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     counted each; other columns are not looked at. An empty table gives none.
     """
     made = stored(blocks(docs, vocabulary), "token-blocks")
-    lists = made.select("block", F.posexplode("pretokens").alias("at", "pretoken"))
-    counts = piece_counts(lists.select("pretoken").distinct(), vocabulary)
-    # one block's counts in order of the list; a list has as many entries as one block has distinct pre-tokens
-    per_block = lists.join(counts, "pretoken").groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("n"))
+    # a block has each of its pre-tokens once, so none has more rows than there are blocks
+    slots = made.select("block", F.posexplode("pretokens").alias("at", "pretoken")).select((F.shiftleft("block", 24) + F.col("at")).alias("slot"), "pretoken")
+    counts = piece_counts(slots, vocabulary).withColumn("block", F.shiftright("slot", 24))
+    # one block's counts in order of its list, which is as long as the block has distinct pre-tokens
+    per_block = counts.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
