@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe_round_trip
+from .mixing import op1_entropy_mixing
 from .quality_rules import op3_quality_rules
 from .token_counts import op9_token_counts
 from .token_planes import op4_token_planes
@@ -16,6 +17,7 @@ from .warc import op7_warc_chunks
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_entropy_mixing,
         op2_bpe_round_trip,
         op3_quality_rules,
         op4_token_planes,
