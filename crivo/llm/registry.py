@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe_round_trip
 from .mixing import op1_entropy_mixing
 from .quality_rules import op3_quality_rules
+from .simhash import op10_simhash_components
 from .token_counts import op9_token_counts
 from .token_planes import op4_token_planes
 from .warc import ORACLE_SQL as WARC_SQL
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_token_planes,
         op7_warc_chunks,
         op9_token_counts,
+        op10_simhash_components,
     )
 }
 ORACLE: dict[str, str] = {"op7_warc_chunks": WARC_SQL}
