@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe_round_trip
+from .language_id import op6_language_id
 from .mixing import op1_entropy_mixing
 from .quality_rules import op3_quality_rules
 from .simhash import op10_simhash_components
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_bpe_round_trip,
         op3_quality_rules,
         op4_token_planes,
+        op6_language_id,
         op7_warc_chunks,
         op9_token_counts,
         op10_simhash_components,
