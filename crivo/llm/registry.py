@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe_round_trip
 from .language_id import op6_language_id
 from .mixing import op1_entropy_mixing
+from .quality_crf import op8_quality_crf
 from .quality_rules import op3_quality_rules
 from .simhash import op10_simhash_components
 from .token_counts import op9_token_counts
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_token_planes,
         op6_language_id,
         op7_warc_chunks,
+        op8_quality_crf,
         op9_token_counts,
         op10_simhash_components,
     )
