@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe_round_trip
 from .language_id import op6_language_id
 from .mixing import op1_entropy_mixing
+from .mtree import ORACLE_SQL as MTREE_SQL
+from .mtree import op5_mtree_top_k
 from .quality_crf import op8_quality_crf
 from .quality_rules import op3_quality_rules
 from .simhash import op10_simhash_components
@@ -24,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_bpe_round_trip,
         op3_quality_rules,
         op4_token_planes,
+        op5_mtree_top_k,
         op6_language_id,
         op7_warc_chunks,
         op8_quality_crf,
@@ -31,4 +34,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_simhash_components,
     )
 }
-ORACLE: dict[str, str] = {"op7_warc_chunks": WARC_SQL}
+ORACLE: dict[str, str] = {"op5_mtree_top_k": MTREE_SQL, "op7_warc_chunks": WARC_SQL}
