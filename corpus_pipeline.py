@@ -1,17 +1,53 @@
-"""The corpus pipeline: stages that each take all rows of the one before."""
+"""The corpus pipeline: from raw documents to the token ids of a mixed, deduplicated corpus.
+
+Each stage takes all rows that the one before kept, with the columns of ``documents``, and its
+decisions take effect: quality rules and language identification drop what they reject, near
+duplicates leave one document of each group, mixing drops and repeats documents, and the last stage
+encodes every row and proves the ids by decoding them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crivo.llm.bpe import default_vocabulary, round_trip
+from crivo.llm import bpe, language_id, mixing, quality_rules, simhash
+from crivo.llm.common import stored, table
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_known(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs, bpe.default_vocabulary())
+
+
+STAGES = [
+    ("quality_rules", quality_rules_stage),
+    ("language_id", language_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("source_mixing", mixing_stage),
+    ("bpe_round_trip", encoding_stage),
+]
 
-STAGES = [("bpe", lambda spark, docs, sf_dir: round_trip(docs, default_vocabulary()))]
+#: No SQL has learned rules, a learned language model, or solves the mixture's dual.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
