@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .common import Index, Rows, append_columns, fresh, ragged, table
 
 #: Pieces that a worker's cache may hold before it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 
 # The pattern that splits text before the merges, of the public byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -124,6 +124,10 @@ class ByteBPE:
         order = np.argsort(of, kind="stable")
         return symbols[order].astype(np.int32), np.bincount(of, minlength=len(words))
 
+    def trim(self) -> None:
+        if len(self.piece) > CACHE_PIECES:
+            self.clear()
+
     def split(self, text: str | None) -> list[str]:
         """The pieces of a text; a special token's string is a piece of its own."""
         if not text:
@@ -142,8 +146,6 @@ class ByteBPE:
 
     def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The piece numbers of all texts, one behind the other, and how many each text has."""
-        if len(self.piece) > CACHE_PIECES:
-            self.clear()
         split = [self.split(t) for t in texts]
         count = np.fromiter(map(len, split), np.int64, len(split))
         number = self.piece.__getitem__
@@ -158,6 +160,7 @@ class ByteBPE:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and how many each text has."""
+        self.trim()
         number, count = self.numbered(texts)
         if self.piece.new:
             which, per_piece = self.new_pretokens()

@@ -19,48 +19,73 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import byte_bpe, default_vocabulary
+from .bpe import ByteBPE, byte_bpe, default_vocabulary
 from .common import ragged, slices, stored, table
 
-#: Bytes of text in a block.
-BLOCK_BYTES = 8_000_000
+#: Bytes of text in a block, about: the larger, the fewer lists have a pre-token.
+BLOCK_BYTES = 32_000_000
 
 _BLOCK = "block long, docs array<struct<doc_id:bigint,n_bytes:bigint,n_distinct:int>>, places binary, times binary, pretokens array<string>"
 
 
+_BLOCK_ARROW = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_distinct", pa.int32())]))), ("places", pa.binary()), ("times", pa.binary()), ("pretokens", pa.list_(pa.string()))])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by byte planes, compressed: most of the upper bytes are zero."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+class _Block:
+    """Documents with their pre-token numbers and frequencies, not yet a row."""
+
+    def __init__(self) -> None:
+        self.docs, self.pretokens, self.times, self.n_bytes = [], [], [], 0
+
+    def add(self, bpe: ByteBPE, doc_ids: list, texts: list[str | None]) -> None:
+        number, count = bpe.numbered(texts)
+        if bpe.piece.new:  # the rows of pieces live as long as the cache does
+            bpe.piece_rows.extend(*bpe.new_pretokens())
+        flat, lengths = ragged(bpe.piece_rows.flat, bpe.piece_rows.offsets, number)
+        doc = np.repeat(np.repeat(np.arange(len(texts)), count), lengths)
+        pair, times = np.unique(doc << 32 | flat, return_counts=True)
+        self.pretokens.append((pair & 0xFFFFFFFF).astype(np.int32))
+        self.times.append(times.astype(np.int32))
+        distinct = np.bincount(pair >> 32, minlength=len(texts)).tolist()
+        size = [len(t.encode()) if t else 0 for t in texts]
+        self.docs += [{"doc_id": i, "n_bytes": b, "n_distinct": k} for i, b, k in zip(doc_ids, size, distinct, strict=True)]
+        self.n_bytes += sum(size)
+
+    def row(self, bpe: ByteBPE, block: int) -> pa.RecordBatch:
+        used, place = np.unique(np.concatenate(self.pretokens), return_inverse=True)
+        words = list(bpe.pretoken)
+        columns = {"block": [block], "docs": [self.docs], "places": [packed(np.diff(place, prepend=0))], "times": [packed(np.concatenate(self.times))], "pretokens": [[words[i] for i in used.tolist()]]}
+        return pa.RecordBatch.from_pydict(columns, _BLOCK_ARROW)
+
+
 def blocks(docs: DataFrame, vocabulary: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of the documents of each input partition, in its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pack = zstandard.ZstdCompressor(level=3).compress
-        bpe, n, task = byte_bpe(vocabulary, "pretokens"), 0, TaskContext.get().partitionId()
+        bpe, task, n = byte_bpe(vocabulary, "pretokens"), TaskContext.get().partitionId(), 0
+        bpe.trim()
+        held = _Block()
         for batch in batches:
-            for part in slices(batch, 1, block_bytes):
-                texts = part.column(1).to_pylist()
-                number, count = bpe.numbered(texts)
-                # pieces to pre-tokens; the rows of pieces live as long as the cache does
-                if bpe.piece.new:
-                    which, per_piece = bpe.new_pretokens()
-                    bpe.piece_rows.extend(which, per_piece)
-                flat, lengths = ragged(bpe.piece_rows.flat, bpe.piece_rows.offsets, number)
-                doc = np.repeat(np.repeat(np.arange(len(texts)), count), lengths)
-                pair, times = np.unique(doc << 32 | flat, return_counts=True)
-                used, place = np.unique(pair & 0xFFFFFFFF, return_inverse=True)
-                words = list(bpe.pretoken)
-                distinct = np.bincount(pair >> 32, minlength=len(texts))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "block": [task << 20 | n],
-                        "docs": [[{"doc_id": i, "n_bytes": 0 if t is None else len(t.encode()), "n_distinct": k} for i, t, k in zip(part.column(0).to_pylist(), texts, distinct.tolist(), strict=True)]],
-                        "places": [pack(np.diff(place, prepend=0).astype(np.int32).tobytes())],
-                        "times": [pack(times.astype(np.uint32).tobytes())],
-                        "pretokens": [[words[i] for i in used.tolist()]],
-                    },
-                    pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_distinct", pa.int32())]))), ("places", pa.binary()), ("times", pa.binary()), ("pretokens", pa.list_(pa.string()))]),
-                )
-                n += 1
+            for part in slices(batch, 1):
+                held.add(bpe, part.column(0).to_pylist(), part.column(1).to_pylist())
+                if held.n_bytes >= block_bytes:
+                    yield held.row(bpe, task << 20 | n)
+                    bpe.trim()
+                    held, n = _Block(), n + 1
+        if held.docs:
+            yield held.row(bpe, task << 20 | n)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BLOCK)
 
@@ -98,13 +123,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     per_block = counts.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for k in range(batch.num_rows):
                 docs_, places, times, n = (batch.column(i)[k] for i in range(4))
                 n = np.asarray(n.values.to_numpy(zero_copy_only=False), np.int64) if n.is_valid else np.zeros(0, np.int64)
-                at = np.cumsum(np.frombuffer(unpack(places.as_py()), np.int32), dtype=np.int64)
-                times = np.frombuffer(unpack(times.as_py()), np.uint32).astype(np.int64)
+                at = np.cumsum(unpacked(places.as_py()), dtype=np.int64)
+                times = unpacked(times.as_py()).astype(np.int64)
                 docs_ = docs_.values
                 ends = np.concatenate([[0], np.cumsum(docs_.field("n_distinct").to_numpy())])
                 total = np.concatenate([[0], np.cumsum(n[at] * times)])[ends]
