@@ -58,7 +58,7 @@ class _Writer:
         self.fs, top = filesystem(folder)
         self.fs.create_dir(top, recursive=True)
         self.name, self.final, self.own = name, f"{top}/{name}", f"{top}/.{name}.{uuid.uuid4().hex}"
-        self.out, self.n, self.size = self.fs.open_output_stream(self.own), 0, 0
+        self.out, self.n, self.size = self.fs.open_output_stream(self.own, compression=None), 0, 0
 
     def record(self, page_id: int | None, url: str | None, payload: memoryview, digest: str, refers_to: int | None) -> None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -182,7 +182,7 @@ def read_chunks(shards: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES,
         for batch in batches:
             for shard in batch.column(0).to_pylist():
                 files, top = filesystem(folder)
-                with files.open_input_stream(f"{top}/{shard}") as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 16) as stream:
+                with files.open_input_stream(f"{top}/{shard}", compression=None) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 16) as stream:
                     for row in records(stream, chunk_bytes):
                         size += len(row["data"])
                         held.append(row if data else row | {"data": None})
