@@ -83,7 +83,7 @@ def plan(files: DataFrame, routes: Routes, existing: DataFrame | None = None) ->
     clash = {"skip": "skipped", "overwrite": done, "rename": done}[routes.on_conflict]
     out = ruled.join(there, "destination", "left").withColumn("status", F.when(F.col("rule") == "unmatched", "unmatched").when(F.col("there"), clash).otherwise(done))
     if routes.on_conflict == "rename":
-        out = out.withColumn("destination", F.when(F.col("there"), F.regexp_replace("destination", r"(\.[^./]+)?\z", "_1$1")).otherwise(F.col("destination")))
+        out = out.withColumn("destination", F.when(F.col("there"), F.regexp_replace("destination", r"\A(.*?)(\.[^./]+)?\z", "$1_1$2")).otherwise(F.col("destination")))
     return out.drop("there")
 
 
@@ -93,7 +93,6 @@ def counters(planned: DataFrame) -> DataFrame:
 
 def included(files: DataFrame, excludes: list[str]) -> tuple[DataFrame, DataFrame]:
     """Files none of whose path parts fits an exclusion, and the others."""
-    test = F.lit(False)
-    for p in excludes:
-        test = test | F.exists(F.split("path", "/"), lambda part, p=p: part.rlike(glob(p)))
+    any_fits = "|".join(f"(?:{glob(p)})" for p in excludes)
+    test = F.exists(F.split("path", "/"), lambda part: part.rlike(any_fits)) if excludes else F.lit(False)
     return files.filter(~test), files.filter(test)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def listing(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Rows (path, name, modificationTime, length); contents are not read."""
+    """Rows (path, name, modificationTime, length); contents are not read. Spark's file source leaves empty files out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "modificationTime", "length")
 

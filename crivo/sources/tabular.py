@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import parse
 from ..functions.text import is_blank, strip
@@ -135,22 +134,20 @@ def choose_sheet(scores: dict[str, float], wanted: str | None = None) -> str:
 def sniff(spark: SparkSession, path: str, header_row: int | None = None) -> Found:
     """Delimiter, encoding and header of a delimited file, from its first lines, which Spark reads."""
     # splits end at line ends, so the first lines are a bounded read
-    raw = spark.read.text(path).select(F.encode("value", "UTF-8").alias("b"), F.col("value").contains("�").alias("bad")).limit(SCAN_ROWS + TYPE_ROWS + 1).collect()
-    encoding = "UTF-8"
-    if any(r["bad"] for r in raw):
-        encoding = "ISO-8859-1"
-        lines = [r["value"] for r in spark.read.option("encoding", encoding).csv(path, sep="\x00", schema="value string").limit(SCAN_ROWS + TYPE_ROWS + 1).collect()]
-    else:
-        lines = [bytes(r["b"]).decode("utf-8") for r in raw]
+    raw = [bytes(r[0]) for r in spark.read.text(path).select(F.col("value").cast("binary")).limit(SCAN_ROWS + TYPE_ROWS + 1).collect()]
+    try:
+        encoding, lines = "UTF-8", [r.decode("utf-8") for r in raw]
+    except UnicodeDecodeError:
+        encoding, lines = "ISO-8859-1", [r.decode("latin-1") for r in raw]
     if not lines:
         raise Rejected("arquivo vazio")
-    lines[0] = (lines[0] or "").lstrip("﻿")
-    sample = "\n".join(line or "" for line in lines)[:HEAD_BYTES]
+    lines[0] = lines[0].lstrip("\ufeff")
+    sample = "\n".join(lines)[:HEAD_BYTES]
     try:
         delimiter = csv.Sniffer().sniff(sample, delimiters=DELIMITERS).delimiter
     except csv.Error:
         delimiter = ","
-    grid = list(csv.reader([line or "" for line in lines], delimiter=delimiter))
+    grid = list(csv.reader(lines, delimiter=delimiter))
     if header_row is not None:
         return Found(unique_names(grid[header_row - 1]), header_row, 1.0, delimiter, encoding)
     at, score, others = find_header(grid)
@@ -166,8 +163,9 @@ def read_delimited(spark: SparkSession, path: str, header_row: int | None = None
     over the file and no sort.
     """
     found = found or sniff(spark, path, header_row)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in found.names])
-    raw = spark.read.csv(path, sep=found.delimiter, encoding=found.encoding, schema=schema, header=False, multiLine=False, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    value = F.col("value") if found.encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), found.encoding)
+    # lines and not records are numbered, so a quoted line end parts a record, and blank lines count
+    raw = spark.read.text(path).select(value.alias("value"))
     # a partition's rows have consecutive ids in their order within the file
     marked = raw.withColumn("_id", F.monotonically_increasing_id())
     part = F.shiftrightunsigned("_id", 33)
@@ -177,7 +175,8 @@ def read_delimited(spark: SparkSession, path: str, header_row: int | None = None
         starts += [F.lit(p), F.lit(at)]
         at += n
     line = F.element_at(F.create_map(*starts), part) + F.col("_id").bitwiseAND((1 << 33) - 1) + 1 if starts else F.lit(0)
-    numbered = marked.withColumn("line", line.cast("long")).drop("_id").filter(F.col("line") > found.header_row)
+    cells = F.from_csv("value", ", ".join(f"`{n}` string" for n in found.names), {"sep": found.delimiter})
+    numbered = marked.withColumn("line", line.cast("long")).filter(F.col("line") > found.header_row).select(cells.alias("c"), "line").select("c.*", "line")
     blank = F.lit(True)
     for n in found.names:
         blank = blank & is_blank(F.col(f"`{n}`"))
