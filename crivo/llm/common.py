@@ -53,6 +53,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def fresh_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix``, with underscores behind it until no column of ``df`` begins so."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def slices(batch: pa.RecordBatch, text: int, chars: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows whose texts have about ``chars`` bytes together; a longer text is a run of its own."""
     import pyarrow.compute as pc

@@ -35,7 +35,7 @@ def word_ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word = np.cumsum(mark) - 1  # a mark counts for the word behind it
     at, of = [], []
     for n in LENGTHS:
-        if len(points) < n + 1:
+        if len(points) < n:
             continue
         value = np.full(len(points) - n + 1, n, np.uint64)
         inner = np.zeros(len(value), np.int64)
@@ -47,7 +47,7 @@ def word_ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 inner += mark[k : k + len(value)]
         first, last = mark[: len(value)], mark[n - 1 :]
         # no mark inside, and not the mark alone or two marks
-        good = (inner == 0) & ~(first & last) if n > 1 else ~first
+        good = ~first if n == 1 else (inner == 0) & ~(first & last & (n == 2))
         start = np.flatnonzero(good)
         at.append((value[start] >> np.uint64(40)).astype(np.int64) % PLACES)
         of.append(word[start])

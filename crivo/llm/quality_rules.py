@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, table
+from .common import append_columns, fresh_prefix, table
 
 # White space between words, and the characters that count as symbols.
 WHITE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -115,7 +115,7 @@ class DecisionList:
         return out
 
 
-def surely(share: float, n: int, z: float = 1.96) -> float:
+def surely(share: float, n: int, z: float = 1.64) -> float:
     """The lower end of Wilson's interval of a share seen in ``n`` rows: few rows prove little."""
     return (share + z * z / (2 * n) - z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n) if n else 0.0
 
@@ -123,7 +123,7 @@ def surely(share: float, n: int, z: float = 1.96) -> float:
 class Learner:
     """Sequential covering of the bad rows of (x, bad)."""
 
-    def __init__(self, names: list[str], cuts: int = 64, max_tests: int = 4, max_rules: int = 24, precision: float = 0.9, least: int = 5) -> None:
+    def __init__(self, names: list[str], cuts: int = 64, max_tests: int = 4, max_rules: int = 24, precision: float = 0.85, least: int = 5) -> None:
         self.names, self.cuts, self.max_tests, self.max_rules, self.precision, self.least = names, cuts, max_tests, max_rules, precision, least
 
     def _covers(self, x: np.ndarray, tests: list) -> np.ndarray:
@@ -214,7 +214,7 @@ def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of ``docs`` that neither the base rules nor the learned list reject, with their columns."""
     rules = learn_rules(docs, labels, max_labelled)
-    prefix = "_stat_"
+    prefix = fresh_prefix(docs, "_stat_")
     return with_statistics(docs, prefix=prefix).filter(~base_failed(prefix) & rules.verdict(prefix).isNull()).select(*docs.columns)
 
 
