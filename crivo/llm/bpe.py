@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from .common import Index, Rows, append_columns, fresh, ragged, table
 
 #: Pieces that a worker's cache may hold before it starts anew.
 CACHE_PIECES = 300_000
+#: Ids that are decoded at a time, and bytes of text that are encoded at a time.
+DECODE_IDS, ENCODE_BYTES = 300_000, 1_000_000
 
 # The pattern that splits text before the merges, of the public byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -214,7 +217,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
         flat, count = byte_bpe(vocabulary, "ids").encode(texts)
         return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat))]
 
-    return append_columns(df, text, [T.StructField(fresh(df, ids), T.ArrayType(T.IntegerType()), True)], run, 2_000_000)
+    return append_columns(df, text, [T.StructField(fresh(df, ids), T.ArrayType(T.IntegerType()), True)], run, ENCODE_BYTES)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -227,8 +230,11 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocabulary, "ids")
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            # runs of rows with about DECODE_IDS ids together
+            size = np.asarray(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(size) - size) // DECODE_IDS)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
                 lists = part.column(at).fill_null([])
                 count = np.diff(lists.offsets.to_numpy())
                 flat = np.asarray(lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False), np.int64)

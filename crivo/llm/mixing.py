@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table
+from .common import fresh, fresh_prefix, stored, table
 
 # What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Documents of one cell that the choice of the last copies looks at together, on average at most.
-CELL_DOCS = 50_000
+CELL_DOCS = 5_000
 STEPS, CLOSE = 60, 1e-9
 
 
@@ -138,7 +138,7 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
 
 def with_copies(docs: DataFrame, sources: DataFrame, cells: DataFrame, buckets: int, size: str, out: str) -> DataFrame:
     """``docs`` (with doc_id, source and the column ``size``) and a struct ``out``: source_size, target, rate, copies."""
-    p = "_mix_"
+    p = fresh_prefix(docs, "_mixing_")
     s = sources.select(*(F.col(c).alias(p + c) for c in ("sid", "source", "source_size", "target")))
     c = cells.select(*(F.col(c).alias(p + c) for c in ("size", "bucket", "n", "rate", "base", "more", "below")), F.col("sid").alias(p + "of"))
     hashed = docs.withColumn(p + "hash", F.xxhash64(F.col("doc_id").cast("long"))).withColumn(p + "at", F.pmod(p + "hash", F.lit(buckets)))

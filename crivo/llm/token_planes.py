@@ -146,7 +146,7 @@ class _Writer:
         self.fs, top = filesystem(folder)
         self.name, self.final, self.own = name, f"{top}/{name}", f"{top}/.{name}.{uuid.uuid4().hex}"
         self.fs.create_dir(top, recursive=True)
-        self.out, self.bits, self.pack = self.fs.open_output_stream(self.own), bits, zstandard.ZstdCompressor(level=3)
+        self.out, self.bits, self.pack = self.fs.open_output_stream(self.own, compression=None), bits, zstandard.ZstdCompressor(level=3)
         self.out.write(MAGIC)
         self.at, self.held, self.n_held, self.n_ids = len(MAGIC), [], 0, 0
         self.block_ids, self.block_planes, self.plane_bytes, self.doc_ids, self.doc_tokens = [], [], [], [], []
@@ -217,7 +217,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | No
     """Writes the ids of all texts in ascending order of doc_id; the list of shards (shard, n_docs, n_ids).
 
     Null and empty texts have only the end id. Rows without a doc_id come last; equal doc_ids in
-    the order of their texts. Other columns don't matter; an empty table has no shards.
+    the order of a hash of their texts. Other columns don't matter; an empty table has no shards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | No
             yield pa.RecordBatch.from_pylist(done)
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    by = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()]
+    by = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     return stored(dealt.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, "shard string, n_docs long, n_ids long"), "token-shards")
 
 
