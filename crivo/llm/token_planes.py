@@ -19,9 +19,11 @@ sum over it gives every shard's first id.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,8 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a word with other characters than these, or with a special token's string, goes to the library whole
+        self.whole = re.compile("|".join(["[^!-~\xa1-\u02ff]", *map(re.escape, self.special)])).search
         self.clear()
 
     def clear(self) -> None:
@@ -81,9 +85,7 @@ class WordEncoder:
 
     def parts(self, word: str) -> list[str]:
         """A word's parts as the pattern cuts them; scripts in which normalising may do more stay whole."""
-        if max(word) >= "\u0300" or any(c.isspace() for c in word) or any(t in word for t in self.special):
-            return [word]
-        return _WORDS.findall(word.lower())
+        return [word] if self.whole(word) else _WORDS.findall(word.lower())
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and how many each text has."""
@@ -91,14 +93,14 @@ class WordEncoder:
             self.clear()
         split = [self.words(t) for t in texts]
         count = np.fromiter(map(len, split), np.int64, len(split))
-        number = np.fromiter((i for s in split for i in map(self.word.__getitem__, s)), np.int64, int(count.sum()))
+        number = np.fromiter(map(self.word.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
         if self.word.new:
             cut = [self.parts(w) for w in self.word.new]
             per_word = np.fromiter(map(len, cut), np.int64, len(cut))
-            which = np.fromiter((self.part[p] for c in cut for p in c), np.int64, int(per_word.sum()))
+            which = np.fromiter(map(self.part.__getitem__, chain.from_iterable(cut)), np.int64, int(per_word.sum()))
             if self.part.new:
                 ids = [e.ids for e in self.tokenizer.encode_batch(self.part.new, add_special_tokens=False)]
-                self.part_rows.extend(np.fromiter((i for x in ids for i in x), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
+                self.part_rows.extend(np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
                 self.part.new.clear()
             flat, lengths = ragged(self.part_rows.flat, self.part_rows.offsets, which)
             self.word_rows.extend(flat, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(per_word)])]))
