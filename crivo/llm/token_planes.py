@@ -40,7 +40,7 @@ from .common import Index, Rows, ragged, shared_dir, slices, stored, table
 MAGIC = b"CRVPLN01"
 #: Ids in a block, and in a shard at most (a document is never cut, so one more document may follow).
 BLOCK_IDS, SHARD_IDS = 65_536, 16_000_000
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 
 _BETWEEN = regex.compile(f"[{SPACES} ]+")
 
@@ -69,11 +69,15 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a word with other characters than these, or with a special token's string, goes to the library whole
         self.whole = re.compile("|".join(["[^!-~\xa1-\u02ff]", *map(re.escape, self.special)])).search
-        self.clear()
-
-    def clear(self) -> None:
         self.word, self.word_rows, self.part, self.part_rows = Index(), Rows(), Index(), Rows()
 
+    def trim(self) -> None:
+        """Starts a cache anew that has grown beyond its bound; words go more often than the parts that many of them share."""
+        if len(self.word) > CACHE_PIECES:
+            self.word, self.word_rows = Index(), Rows()
+        if len(self.part) > CACHE_PIECES:
+            self.part, self.part_rows = Index(), Rows()
+
     def words(self, text: str | None) -> list[str]:
         if not text:
             return []
@@ -89,8 +93,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and how many each text has."""
-        if len(self.word) > CACHE_PIECES:
-            self.clear()
+        self.trim()
         split = [self.words(t) for t in texts]
         count = np.fromiter(map(len, split), np.int64, len(split))
         number = np.fromiter(map(self.word.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
@@ -99,7 +102,7 @@ class WordEncoder:
             per_word = np.fromiter(map(len, cut), np.int64, len(cut))
             which = np.fromiter(map(self.part.__getitem__, chain.from_iterable(cut)), np.int64, int(per_word.sum()))
             if self.part.new:
-                ids = [e.ids for e in self.tokenizer.encode_batch(self.part.new, add_special_tokens=False)]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.part.new, add_special_tokens=False)]
                 self.part_rows.extend(np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
                 self.part.new.clear()
             flat, lengths = ragged(self.part_rows.flat, self.part_rows.offsets, which)
