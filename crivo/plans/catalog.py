@@ -399,12 +399,14 @@ def html_titles(spark, d):
 
 @query()
 def html_links(spark, d):
-    return pages_source.scrape(_t(spark, d, "pages"), "a", {"text": "a"})
+    """A row per link: its text and where it leads."""
+    return pages_source.scrape(_t(spark, d, "pages"), "a", {"text": ":scope", "href": "@href"})
 
 
 @query()
 def html_paragraphs(spark, d):
-    return pages_source.scrape(_t(spark, d, "pages"), "body", {"first": "p", "heading": "h1", "link": "a[href]"})
+    """A row per paragraph, heading (h1) and link of a page, its text in the column of its kind."""
+    return pages_source.scrape(_t(spark, d, "pages"), "p, h1, a[href]", {"paragraph": "p:scope", "heading": "h1:scope", "link": "a:scope", "href": "@href"})
 
 
 PART_ROUTES = routing.Routes(

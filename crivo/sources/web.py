@@ -67,6 +67,10 @@ class _Tree(HTMLParser):
 _SIMPLE = re.compile(r"(?P<tag>[a-zA-Z][\w-]*|\*)|#(?P<id>[\w-]+)|\.(?P<class>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[~^$*]?=)[\"']?(?P<value>[^\"'\]]*)[\"']?)?\]|:nth-of-type\((?P<nth>\d+)\)|(?P<first>:first-child)")
 
 
+SCOPE = ":scope"
+_COLUMN = re.compile(r"(?P<selector>.*?)(?:@(?P<attr>[\w:-]+))?", re.S)
+
+
 def _fits(node: Node, simple: str) -> bool:
     for m in _SIMPLE.finditer(simple):
         d = m.groupdict()
@@ -85,7 +89,10 @@ def _fits(node: Node, simple: str) -> bool:
 
 
 def select(root: Node, selector: str) -> list[Node]:
-    """The nodes below ``root`` that a selector fits: names, #ids, .classes, [attributes], descendants, children (>), alternatives (,)."""
+    """The nodes below ``root`` that a selector fits: names, #ids, .classes, [attributes], descendants, children (>), alternatives (,).
+
+    A first step that ends with ``:scope`` is ``root`` itself, if it fits the rest of that step.
+    """
     out, seen = [], set()
     for one in selector.split(","):
         parts = re.findall(r">|[^\s>]+", one.strip())
@@ -96,10 +103,12 @@ def select(root: Node, selector: str) -> list[Node]:
             else:
                 steps.append((p, direct))
                 direct = False
-        found = [root]
+        found, own = [root], bool(steps) and steps[0][0].endswith(SCOPE)
+        if own:
+            found = [root] if _fits(root, steps.pop(0)[0].removesuffix(SCOPE)) else []
         for simple, child in steps:
             found = list(dict.fromkeys(n for f in found for n in ((c for c in f.children if isinstance(c, Node)) if child else f.walk()) if _fits(n, simple)))
-        out += [n for n in found if n is not root and not (id(n) in seen or seen.add(id(n)))]
+        out += [n for n in found if (own or n is not root) and not (id(n) in seen or seen.add(id(n)))]
     return out
 
 
@@ -110,9 +119,21 @@ def parse_html(html: str | None) -> Node:
     return tree.root
 
 
+def _cell(row: Node, column: str) -> str:
+    m = _COLUMN.fullmatch(column)
+    found = select(row, m["selector"].strip() or SCOPE)
+    if not found:
+        return ""
+    return found[0].attrs.get(m["attr"].lower(), "") if m["attr"] else found[0].text().strip()
+
+
 def extract_rows(html: str | None, row_selector: str, columns: dict[str, str]) -> list[list[str]]:
-    """A row per match of ``row_selector``: each column's first match below it as stripped text, else empty."""
-    return [[(found[0].text().strip() if (found := select(row, s)) else "") for s in columns.values()] for row in select(parse_html(html), row_selector)]
+    """A row per match of ``row_selector``: each column's first match below it as stripped text, else empty.
+
+    ``:scope`` is the row's node itself (``a:scope``: if it is an a), and ``selector@name`` takes an
+    attribute of the match and not its text; ``@name`` alone is an attribute of the row's node.
+    """
+    return [[_cell(row, s) for s in columns.values()] for row in select(parse_html(html), row_selector)]
 
 
 def next_link(html: str | None, base: str, selector: str) -> str | None:

@@ -2,11 +2,14 @@
 
 import datetime
 import json
+import re
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crivo.plans import catalog
 from crivo.sources import files, sinks, tabular, web, xlsx
 from crivo.streaming import events
 
@@ -85,6 +88,38 @@ def test_selectors(spark):
     assert len(list(web.follow(site.__getitem__, "http://h/1", "#n", 1))) == 1
 
 
+PAGES = [
+    (1, '<h1>Um &amp; dois</h1><p>primeiro <a href="/a?x=1&amp;y=2">ir</a></p><p>segundo</p><h1>Outro</h1><p></p><a>sem destino</a><a href=""> vazio </a>'),
+    (2, '<html><body><div><p>so <b>um</b></p><a HREF="b.html" class=k><i>b</i></a></div></body></html>'),
+    (3, None),
+    (4, "<p>sem fim"),
+]
+
+
+def brute(html, tag):
+    """(attributes, text) of the elements of a name, by plain search in a page without nested ones."""
+    strip = lambda t: unescape(re.sub("<[^>]*>", "", t)).strip()
+    return [(m[1], strip(m[2])) for m in re.finditer(rf"<{tag}\b([^>]*)>(.*?)(?:</{tag}>|\Z)", html or "", re.S)]
+
+
+def href(attrs):
+    m = re.search(r'href="([^"]*)"', attrs, re.I)
+    return unescape(m[1]) if m else None
+
+
+def test_all_links_and_paragraphs(spark, tmp_path):
+    spark.createDataFrame(PAGES, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    links = [tuple(r) for r in catalog.html_links(spark, str(tmp_path)).collect()]
+    assert sorted(links) == [(k, i, text, href(at) or "") for k, page in PAGES for i, (at, text) in enumerate(brute(page, "a"))]
+    assert (1, 0, "ir", "/a?x=1&y=2") in links
+    want = []
+    for k, page in PAGES:
+        own = [(t, "", "", "") for _, t in brute(page, "p")] + [("", t, "", "") for _, t in brute(page, "h1")] + [("", "", t, href(at)) for at, t in brute(page, "a") if href(at) is not None]
+        want += [(k, i, *cells) for i, cells in enumerate(own)]
+    df = catalog.html_paragraphs(spark, str(tmp_path))
+    assert df.columns == ["page_id", "row", "paragraph", "heading", "link", "href"] and sorted(map(tuple, df.collect())) == want
+
+
 def paged(page, per_page):
     data = [{"id": i, "sku": f"s{i}"} for i in range(47)][(page - 1) * per_page : page * per_page]
     return {"data": data, "page": page, "total_pages": -(-47 // per_page), "has_next": page * per_page < 47}
