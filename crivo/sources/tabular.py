@@ -1,7 +1,8 @@
 """Loosely structured tables: delimited text and spreadsheets, found by their first rows.
 
 Only a bounded head of a file (or the first rows of a sheet) comes to the driver, to find the
-delimiter, the encoding, the header row and the sheet. Rows are then read by Spark.
+delimiter, the header row and the sheet. The encoding is told by all lines of a file. Rows are then
+read by Spark.
 """
 
 from __future__ import annotations
@@ -132,13 +133,12 @@ def choose_sheet(scores: dict[str, float], wanted: str | None = None) -> str:
 
 
 def sniff(spark: SparkSession, path: str, header_row: int | None = None) -> Found:
-    """Delimiter, encoding and header of a delimited file, from its first lines, which Spark reads."""
+    """Delimiter and header of a delimited file, from its first lines, and its encoding, from all: UTF-8 if every line is, else Latin-1."""
+    text = spark.read.text(path)
     # splits end at line ends, so the first lines are a bounded read
-    raw = [bytes(r[0]) for r in spark.read.text(path).select(F.col("value").cast("binary")).limit(SCAN_ROWS + TYPE_ROWS + 1).collect()]
-    try:
-        encoding, lines = "UTF-8", [r.decode("utf-8") for r in raw]
-    except UnicodeDecodeError:
-        encoding, lines = "ISO-8859-1", [r.decode("latin-1") for r in raw]
+    raw = [bytes(r[0]) for r in text.select(F.col("value").cast("binary")).limit(SCAN_ROWS + TYPE_ROWS + 1).collect()]
+    encoding = "ISO-8859-1" if text.agg(F.bool_or(~F.is_valid_utf8("value"))).first()[0] else "UTF-8"
+    lines = [r.decode(encoding) for r in raw]
     if not lines:
         raise Rejected("arquivo vazio")
     lines[0] = lines[0].lstrip("\ufeff")

@@ -36,6 +36,14 @@ def test_delimited(spark, tmp_path, data, encoding, header, names, lines):
     assert df.columns == [*names, "line"] and sorted(r["line"] for r in df.collect()) == lines
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "latin-1"])
+def test_encoding_by_all_lines(spark, tmp_path, encoding):
+    path = write(tmp_path, "t.csv", "nome,qtd\n" + "".join(f"p{i},{i}\n" for i in range(200)) + "maçã,200\n", encoding)
+    assert tabular.sniff(spark, path).encoding == {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}[encoding]
+    rows = {r["line"]: r["nome"] for r in tabular.read_delimited(spark, path).collect()}
+    assert len(rows) == 201 and rows[202] == "maçã"
+
+
 def test_no_header_is_refused(spark, tmp_path):
     with pytest.raises(tabular.Rejected):
         tabular.sniff(spark, write(tmp_path, "t.csv", "so um texto\n"))
