@@ -10,8 +10,11 @@ from __future__ import annotations
 import csv
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,10 @@ from ..functions.text import is_blank, strip
 SCAN_ROWS, HEAD_BYTES, TYPE_ROWS, ROWS_BELOW = 20, 8192, 5, 3
 MIN_SHEET, MARGIN = 0.35, 0.15
 DELIMITERS = ",;\t|"
+#: The rest of a quoted cell up to its end, quotes in it doubled.
+QUOTED = re.compile(rb'(?:[^"]++|"")*+')
+BATCH = 1_000
+PIECES = pa.schema([("line", pa.int64()), ("p", pa.int64()), ("whole", pa.bool_()), ("value", pa.binary())])
 
 
 class Rejected(ValueError):
@@ -156,27 +163,90 @@ def sniff(spark: SparkSession, path: str, header_row: int | None = None) -> Foun
     return Found(unique_names(grid[at]), at + 1, score, delimiter, encoding, [i + 1 for i in others])
 
 
+def open_after(line: bytes, delimiter: bytes, inside: bool) -> bool:
+    """Whether a quoted cell is open at a line's end, by the rules of ``csv.reader``: a quote opens at a cell's start only."""
+    if b'"' not in line:
+        return inside
+    at = 0
+    while True:
+        if not inside:
+            inside = line[at : at + 1] == b'"'
+            at += inside
+        if inside:
+            at = QUOTED.match(line, at).end()
+            if at == len(line):
+                return True
+            inside = False
+        at = line.find(delimiter, at) + 1
+        if not at:
+            return False
+
+
+def records(spark: SparkSession, path: str, found: Found) -> DataFrame:
+    """Rows (line, value): the records of a file, decoded, with their place; lines are joined (by \\n) while a quoted cell is open.
+
+    Whether a partition starts within a quoted cell is known from those before it. So a first pass
+    counts each partition's records and its open cell for both starts, and the second joins its
+    lines; only records that go over a partition's end are put together by a shuffle.
+    """
+    raw = spark.read.text(path).select(F.col("value").cast("binary").alias("value"))
+    sep = found.delimiter.encode()
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        return (line for batch in batches for line in batch.column(0).to_pylist())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside, begun = [False, True], [0, 0]
+        for line in lines(batches):
+            for k in (0, 1):
+                begun[k] += not inside[k]
+                inside[k] = open_after(line, sep, inside[k])
+        yield pa.RecordBatch.from_pylist([{"p": TaskContext.get().partitionId(), "begun": begun, "inside": inside}])
+
+    starts, inside, at = {}, False, 0
+    for r in sorted(raw.mapInArrow(scan, "p long, begun array<long>, inside array<boolean>").collect()):
+        starts[r["p"]] = (inside, at)
+        at += r["begun"][inside]
+        inside = r["inside"][inside]
+    if inside:
+        raise Rejected("aspas abertas sem fim")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = TaskContext.get().partitionId()
+        inside, at = starts[p]
+        held, whole, out = [], not inside, []
+        for line in lines(batches):
+            if not inside:
+                at += 1
+            held.append(line)
+            inside = open_after(line, sep, inside)
+            if not inside:
+                out.append({"line": at, "p": p, "whole": whole, "value": b"\n".join(held)})
+                held, whole = [], True
+            if len(out) == BATCH:
+                yield pa.RecordBatch.from_pylist(out, PIECES)
+                out = []
+        if held:
+            out.append({"line": at, "p": p, "whole": False, "value": b"\n".join(held)})
+        yield pa.RecordBatch.from_pylist(out, PIECES)
+
+    pieces = raw.mapInArrow(join, "line long, p long, whole boolean, value binary").withColumn("value", F.decode("value", found.encoding))
+    if not any(begins for begins, _ in starts.values()):
+        return pieces.select("line", "value")
+    parted = pieces.filter("not whole").groupBy("line").agg(F.array_sort(F.collect_list(F.struct("p", "value"))).alias("parts"))
+    return pieces.filter("whole").select("line", "value").union(parted.select("line", F.array_join("parts.value", "\n")))
+
+
 def read_delimited(spark: SparkSession, path: str, header_row: int | None = None, found: Found | None = None) -> DataFrame:
     """All cells as text, and ``line``, the record's place in the file (header row and blank records counted); blank records left out.
 
-    Lines are numbered by a count per partition and the running sum of those counts: one light pass
+    A record goes on over line ends within quotes; a file that ends within quotes is refused.
+    Records are numbered by a count per partition and the running sum of those counts: one light pass
     over the file and no sort.
     """
     found = found or sniff(spark, path, header_row)
-    value = F.col("value") if found.encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), found.encoding)
-    # lines and not records are numbered, so a quoted line end parts a record, and blank lines count
-    raw = spark.read.text(path).select(value.alias("value"))
-    # a partition's rows have consecutive ids in their order within the file
-    marked = raw.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("_id", 33)
-    sizes = sorted((r["p"], r["n"]) for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    starts, at = [], 0
-    for p, n in sizes:
-        starts += [F.lit(p), F.lit(at)]
-        at += n
-    line = F.element_at(F.create_map(*starts), part) + F.col("_id").bitwiseAND((1 << 33) - 1) + 1 if starts else F.lit(0)
-    cells = F.from_csv("value", ", ".join(f"`{n}` string" for n in found.names), {"sep": found.delimiter})
-    numbered = marked.withColumn("line", line.cast("long")).filter(F.col("line") > found.header_row).select(cells.alias("c"), "line").select("c.*", "line")
+    cells = F.from_csv("value", ", ".join(f"`{n}` string" for n in found.names), {"sep": found.delimiter, "quote": '"', "escape": '"'})
+    numbered = records(spark, path, found).filter(F.col("line") > found.header_row).select(cells.alias("c"), "line").select("c.*", "line")
     blank = F.lit(True)
     for n in found.names:
         blank = blank & is_blank(F.col(f"`{n}`"))

@@ -1,6 +1,8 @@
 """Files, pages, sinks and streams."""
 
+import csv
 import datetime
+import io
 import json
 import re
 from html import unescape
@@ -44,6 +46,25 @@ def test_encoding_by_all_lines(spark, tmp_path, encoding):
     assert len(rows) == 201 and rows[202] == "maçã"
 
 
+def test_quoted_line_ends(spark, tmp_path):
+    head = 'nome,obs,qtd\n'
+    body = "".join(f'n{i},"linha 1\n\nlinha, ""2"" de {i}\n",{i}\n' if i % 3 == 0 else f'n{i},5" tubo,{i}\n' if i % 3 == 1 else f'"n{i}",,{i}\n\n' for i in range(300))
+    path = write(tmp_path, "q.csv", head + body)
+    want = [(*(c or None for c in r), k) for k, r in enumerate(csv.reader(io.StringIO(head + body)), 1) if k > 1 and r]
+    splits = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    was = [spark.conf.get(c) for c in splits]
+    try:
+        for size in (was[0], "37", "400"):
+            spark.conf.set(splits[0], size)
+            spark.conf.set(splits[1], was[1] if size == was[0] else "0")
+            assert sorted(map(tuple, tabular.read_delimited(spark, path).collect()), key=lambda r: r[-1]) == want
+    finally:
+        for c, v in zip(splits, was, strict=True):
+            spark.conf.set(c, v)
+    with pytest.raises(tabular.Rejected):
+        tabular.read_delimited(spark, write(tmp_path, "open.csv", "a,b\nx,1\ny,2\nz,3\n\"w,4\nv,5\n"))
+
+
 def test_no_header_is_refused(spark, tmp_path):
     with pytest.raises(tabular.Rejected):
         tabular.sniff(spark, write(tmp_path, "t.csv", "so um texto\n"))
