@@ -97,6 +97,31 @@ def test_workbooks(spark, tmp_path):
     assert xlsx.column_number("AB12") == 28 and xlsx.column_letters(28) == "AB"
 
 
+def test_sheets_are_read_to_their_end(spark, tmp_path):
+    def read(sheets, **named):
+        path = tmp_path / f"{'-'.join(sheets)}.xlsx"
+        path.write_bytes(xlsx.workbook(sheets))
+        return xlsx.read_sheet(spark, str(path), **named)
+
+    rows = [[f"p{i}", i, i / 2] for i in range(100)]
+    # a column whose first cell is in line 91
+    df = read({"Dados": (["produto", "qtd", "valor"], [r + ["tarde"] if i >= 89 else r for i, r in enumerate(rows)])})
+    assert df.columns == ["line", "produto", "qtd", "valor", "coluna_4"]
+    assert df.count() == 100 and df.filter("coluna_4 = 'tarde'").agg(F.min("line"), F.count("*")).first() == (91, 11)
+    # a sheet that starts below line 60, and headers there
+    low = {"Dados": (["produto", "qtd"], [[f"p{i}", i] for i in range(9)]), "Baixo": ([], [[]] * 69 + [["a", "b"], ["x", 1], ["y", 2]])}
+    assert sorted(map(tuple, read(low, sheet="Baixo", header_row=71).collect())) == [(72, "x", "1"), (73, "y", "2")]
+    assert read(low, sheet="Baixo", header_row=71).columns == ["line", "a", "b"] and read(low, sheet="Baixo").count() == 3
+    with pytest.raises(tabular.Rejected):
+        read(low, sheet="Baixo", header_row=74)
+    # a sheet that is no table after its first lines: by its head alone, as good as the other
+    spread = [[None] * (i % 7) + ["x"] for i in range(500)]
+    two = {"Painel": (["a", "b", "c"], [["x", 1, 2]] * 60 + spread), "Dados": (["produto", "qtd", "valor"], rows)}
+    assert read(two).columns[1:] == ["produto", "qtd", "valor"]
+    grid = [["a", "b", "c", *[None] * 4], *[["x", "1", "2", *[None] * 4]] * 60, *[r + [None] * (7 - len(r)) for r in spread]]
+    assert tabular.score_grid(grid)[0] <= 0.2
+
+
 def test_footer(spark):
     df = spark.createDataFrame([(2, "a", "1", "x"), (3, "b", "2", "y"), (4, "TOTAL", "3", None)], "line long, p string, q string, r string")
     assert tabular.footer_like(df, ["p", "q", "r"]) and not tabular.footer_like(df.filter("line < 4"), ["p", "q", "r"])
