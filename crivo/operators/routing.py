@@ -54,10 +54,14 @@ def matched_rule(name: Column, routes: Routes, case_sensitive: bool = True) -> C
 
 
 def matched_by_table(df: DataFrame, rules: DataFrame, name: str) -> DataFrame:
-    """The same from a table of rules (ord, rule, regex), for rule sets too long for a chain; the table is as long as people write."""
-    test = F.expr(f"`{name}` rlike regex")
-    best = F.min_by("rule", "ord")
-    return df.join(rules, test, "left").groupBy(*df.columns).agg(F.coalesce(best, F.lit("unmatched")).alias("rule"))
+    """The same from a table of rules (ord, rule, regex), for rule sets too long for a chain; the table is as long as people write.
+
+    The rules go to every row as one list in their order, so each row stays, repeated ones as well.
+    """
+    own = next(c for c in map("_rules{}".format, range(len(df.columns) + 1)) if c not in df.columns)
+    listed = rules.filter("ord is not null").agg(F.array_sort(F.collect_list(F.struct("ord", "rule", "regex"))).alias(own))
+    fits = F.filter(own, lambda r: F.rlike(F.col(f"`{name}`"), r["regex"]))
+    return df.crossJoin(F.broadcast(listed)).select(*(f"`{c}`" for c in df.columns), F.coalesce(F.get(fits, F.lit(0))["rule"], F.lit("unmatched")).alias("rule"))
 
 
 def destination(name: Column, modified: Column, routes: Routes, rule: Column) -> Column:

@@ -223,6 +223,14 @@ class Works(Pipeline):
         return Result("success", rows_affected=3)
 
 
+def test_rules_of_a_table_keep_every_row(spark):
+    df = spark.createDataFrame([(n,) for n in ("ab", "ab", "ab", "b", None, None, "x", "x")], "name string")
+    rules = spark.createDataFrame([(1, "second", "b"), (0, "first", r"\Aa"), (2, "never", "a")], "ord int, rule string, regex string")
+    got = sorted(map(tuple, routing.matched_by_table(df, rules, "name").collect()), key=repr)
+    assert got == sorted([("ab", "first")] * 3 + [("b", "second")] + [(None, "unmatched")] * 2 + [("x", "unmatched")] * 2, key=repr)
+    assert routing.matched_by_table(df, rules.limit(0), "name").filter("rule = 'unmatched'").count() == 8
+
+
 def test_runs_are_recorded(spark, tmp_path):
     log = str(tmp_path / "log")
     assert Works().run(spark, log).status == "success" and Fails().run(spark, log).error == "ExpectedError"
