@@ -7,7 +7,8 @@ anchor (code word), its own. So the half of one fingerprint is within two bits o
 anchor, and each fingerprint is replicated to the anchors within covering radius 1 plus threshold
 1 of each half: 16 or 17 of 67 million. Per anchor, those who own it are compared with all who came.
 
-A group's members are compared in blocks of rows, and only links that join two groups that were
+A group of more than ``GROUP_ROWS`` is dealt into blocks of owners and of comers, every two of which
+are a group. A group's members are compared in blocks of rows, and only links that join two groups that were
 apart go out, so a large group of near copies gives a spanning tree and not all its pairs.
 Components are then found by alternating large-star and small-star steps over the links, each step
 written to the shared folder.
@@ -31,6 +32,8 @@ from .common import append_columns, fresh, stored, table
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Fingerprints of a group that are compared with each other at a time.
 BLOCK_ROWS = 2_000
+#: Fingerprints of an anchor from which its group is dealt into blocks.
+GROUP_ROWS = 20_000
 STEPS = 60
 
 
@@ -110,6 +113,42 @@ def replicated(prints: DataFrame) -> DataFrame:
     return prints.select("fp").mapInArrow(run, "anchor long, own boolean, fp long")
 
 
+def crowded(prints: DataFrame, limit: int) -> DataFrame:
+    """Rows (anchor, blocks) of the anchors to which more than ``limit`` fingerprints come, by a count that misses ``limit`` of them at most.
+
+    The count is the sum over the 497 words within two bits of the anchor, of which those with fewer
+    than a 497th of ``limit`` are left out: so only words that many share are replicated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 20_000):
+                part = batch.slice(a, 20_000)
+                word, n = part.column(0).to_numpy(), part.column(1).to_numpy()
+                row, anchor, _ = anchors((word & 0x7FFFFFFF).astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64) | word[row] & 1 << 31), pa.array(n[row])], names=["anchor", "n"])
+
+    half = lambda k: F.shiftright("fp", 32 * k).bitwiseAND(0x7FFFFFFF).bitwiseOR(F.lit(k << 31).cast("long"))
+    words = prints.select(F.explode(F.array(half(0), half(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") * len(_near()) > limit)
+    counts = words.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > limit)
+    # a block more for those that the count may miss
+    return counts.select("anchor", (F.ceil(F.col("n") / limit) + 1).alias("blocks"))
+
+
+def dealt(prints: DataFrame, limit: int) -> DataFrame:
+    """``replicated``, with the large groups in parts: each block of an anchor's owners meets each block of its comers in a group
+    of its own, whose place is in the bits of ``anchor`` above the 32nd."""
+    rows, large = replicated(prints), stored(crowded(prints, limit), "crowded")
+    if large.isEmpty():
+        return rows
+    block, others = F.pmod(F.xxhash64("fp"), F.col("blocks")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    place = lambda owner, comer, own: F.struct((F.col("anchor") + owner * (1 << 32) + comer * (1 << 47)).alias("anchor"), own.alias("own"))
+    came = F.transform(others, lambda o: place(o, block, F.lit(False)))
+    owns = F.transform(others, lambda o: place(block, o, F.lit(True)))
+    parts = F.when(F.col("blocks").isNull(), F.array(F.struct("anchor", "own"))).when(F.col("own"), F.concat(came, owns)).otherwise(came)
+    return rows.join(F.broadcast(large), "anchor", "left").select(F.explode(parts).alias("at"), "fp").select("at.anchor", "at.own", "fp")
+
+
 def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
     while True:
         up = parent[at]
@@ -139,7 +178,7 @@ def spanning_links(fp: np.ndarray, own: np.ndarray, bits: int = BITS) -> tuple[n
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
+def links(prints: DataFrame, bits: int = BITS, limit: int = GROUP_ROWS) -> DataFrame:
     """Rows (a, b), a < b, of distinct fingerprints: enough links within ``bits`` to join all that belong together."""
     if bits > 3:
         raise ValueError("the halves' anchors cover three differing bits")
@@ -175,7 +214,7 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
         if held and sum(len(x[0]) for x in held):
             yield from done(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return replicated(prints).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long").distinct()
+    return dealt(prints, limit).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
