@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Parts of a log in which rows are numbered apart.
+RANGES = 100
 FAILURES = ("failure", "partial")
 SCHEMA = "id long, timestamp timestamp, task_name string, user string, status string, environment string, input_hash string, args string, duration_ms long, rows_affected long, rows_failed long, error_message string"
 
@@ -101,7 +103,22 @@ def verified(df: DataFrame, inputs: DataFrame, digest: Column) -> DataFrame:
     return joined.select("id", ((F.col("input_hash") != "") & (F.col("input_hash") == digest)).alias("verified"))
 
 
+def numbered(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """``df`` with each row's number (from 1) within its key by a numeric column, as row_number has it.
+
+    Rows are numbered within ranges of that column, and what a key has in the ranges before is added:
+    a key of any size is sorted by many tasks.
+    """
+    bounds = df.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)])).first()[0] or []
+    above = sum(((F.col(order) > b).cast("int") for b in sorted(set(bounds))), F.lit(0))
+    ranged = df.withColumn("_range", F.coalesce(above, F.lit(0)))
+    before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n")).select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy(key, "_range").orderBy(order))
+    joined = ranged.withColumn(name, own).join(sizes, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+
+
 def attached(runs: DataFrame, entries: DataFrame) -> DataFrame:
     """The k-th run of a task with the k-th oldest entry of that task; runs beyond the entries stay alone."""
-    at = lambda order: F.row_number().over(W.partitionBy("task_name").orderBy(order))
-    return runs.withColumn("k", at("run_id")).join(entries.withColumn("k", at("id")), ["task_name", "k"], "left")
+    return numbered(runs, "task_name", "run_id", "k").join(numbered(entries, "task_name", "id", "k"), ["task_name", "k"], "left")

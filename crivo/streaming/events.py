@@ -37,7 +37,8 @@ def rate_limited(events: DataFrame, limit: int, window: float = 60.0) -> DataFra
 
 def rate_limited_batch(events: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
     """The same over a finished table. A limiter looks back one window only, so a gap longer than that cuts a key's
-    events into runs that are decided apart: a busy key is many groups, not one."""
+    events into runs that are decided apart: a busy key is many groups, not one. Only the gaps are searched for in a
+    sort of all rows of a key in one task."""
     order = W.partitionBy("key").orderBy("ts", "event_id")
     at = F.col("ts").cast("timestamp").cast("double")
     gap = F.coalesce(at - F.lag(at).over(order) > window, F.lit(True))
@@ -60,8 +61,12 @@ def rate_limited_batch(events: DataFrame, limit: int, window: float = 60.0) -> D
 
 def hits_in_window(events: DataFrame, window: int = 60) -> DataFrame:
     """An approximation that counts denied hits as well: each event's number of events in its last seconds."""
-    span = W.partitionBy("key").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-window, 0)
-    return events.withColumn("hits", F.count("*").over(span))
+    # a key is cut into buckets of one window; events also go to the next bucket, whose events look back at them
+    at = F.col("ts").cast("timestamp").cast("long")
+    bucket = F.floor(at / max(window, 1))
+    both = F.when(at.isNull(), F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")))).otherwise(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own"))))
+    span = W.partitionBy("key", "_in.bucket").orderBy(at).rangeBetween(-window, 0)
+    return events.withColumn("_in", F.explode(both)).withColumn("hits", F.count("*").over(span)).filter("_in.own").drop("_in")
 
 
 def first_per_key(stream: DataFrame, key: str = "idempotency_key", time: str = "ts", delay: str = "15 minutes") -> DataFrame:

@@ -223,6 +223,14 @@ class Works(Pipeline):
         return Result("success", rows_affected=3)
 
 
+def test_numbers_within_a_hot_key(spark):
+    rows = [("a" if i % 3 else None if i % 2 else "b", (i * 7919) % 2003) for i in range(2000)]
+    got = audit.numbered(spark.createDataFrame(rows, "task_name string, id long"), "task_name", "id", "k")
+    want = [(t, n, sum(1 for u, m in rows if u == t and m <= n)) for t, n in rows]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert audit.numbered(spark.createDataFrame([], "task_name string, id long"), "task_name", "id", "k").count() == 0
+
+
 def test_rules_of_a_table_keep_every_row(spark):
     df = spark.createDataFrame([(n,) for n in ("ab", "ab", "ab", "b", None, None, "x", "x")], "name string")
     rules = spark.createDataFrame([(1, "second", "b"), (0, "first", r"\Aa"), (2, "never", "a")], "ord int, rule string, regex string")

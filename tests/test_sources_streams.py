@@ -251,6 +251,14 @@ def test_rate_limit_in_batch_and_stream(spark, tmp_path):
     assert [r["hits"] for r in events.hits_in_window(df).orderBy("event_id").collect()][:5] == [1, 2, 3, 4, 5]
 
 
+def test_hits_over_the_ends_of_buckets(spark):
+    seconds = [(i * i * 31) % 4000 for i in range(400)]
+    got = sorted((r["event_id"], r["hits"]) for r in events.hits_in_window(hits(spark, seconds)).collect())
+    assert got == [(i, sum(s - 60 <= t <= s for t in seconds)) for i, s in enumerate(seconds)]
+    none = spark.createDataFrame([(1, 1, None), (1, 2, None)], "key long, event_id long, ts timestamp")
+    assert [r["hits"] for r in events.hits_in_window(none).collect()] == [2, 2]
+
+
 def test_replays_windows_and_progress(spark, tmp_path):
     df = hits(spark, [0, 1, 2, 4000]).withColumn("idempotency_key", F.col("event_id") % 2).withColumn("event_type", F.lit("a"))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
