@@ -3,7 +3,14 @@
 Each stage takes all rows that the one before kept, with the columns of ``documents``, and its
 decisions take effect: quality rules and language identification drop what they reject, near
 duplicates leave one document of each group, mixing drops and repeats documents, and the last stage
-encodes every row and proves the ids by decoding them.
+encodes every row, keeps its ids, and proves them by the digest of the text that they decode to.
+
+Nulls: a document with a null text has no words and goes at the first stage; null doc_id, lang and
+source stay. Empty texts go like null ones, long texts are worked on whole. Rows that are repeated
+are near duplicates of each other, so one of them stays, and mixing may repeat it. Extra columns, of
+any name, go along up to the last stage. Without documents every stage has no rows; without labels
+the first stage has its base rules only, and without any known language the second drops all.
+Ties are settled by doc_id or a hash of it, so that reruns agree.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from crivo.llm import bpe, language_id, mixing, quality_rules, simhash
-from crivo.llm.common import stored, table
+from crivo.llm.common import remove, scratch, shared_dir, stored, table
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, bpe.default_vocabulary())
+    return bpe.encoded_corpus(docs, bpe.default_vocabulary())
 
 
 STAGES = [
@@ -49,7 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what a stage stored on its way, and its input, are deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_dir(spark, f"stage-{name}")
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

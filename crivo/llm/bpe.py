@@ -7,29 +7,30 @@ pre-tokens without a pair leave the array. Texts are then put together from the
 pieces, so a pre-token is merged once per worker and not once per place.
 
 Encoding and decoding are maps over rows: no shuffle, no state between tasks but a cache of
-bounded size in each Python worker, which a lost executor only has to fill again.
+bounded bytes in each Python worker, which a lost executor only has to fill again. A worker has one
+vocabulary at a time, and lets it go when it comes to serve another operator.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
-from .common import Index, Rows, append_columns, fresh, ragged, table
+from .common import Index, Rows, append_columns, fresh, kept, ragged, table
 
-#: Pieces that a worker's cache may hold before it starts anew.
-CACHE_PIECES = 300_000
-#: Ids that are decoded at a time, and bytes of text that are encoded at a time.
+#: Bytes that a worker's cache may take, about, before it starts anew.
+CACHE_BYTES = 48_000_000
+#: Ids that are decoded at a time, and bytes of text that are encoded at a time; a longer text is cut between pieces.
 DECODE_IDS, ENCODE_BYTES = 300_000, 1_000_000
 
 # The pattern that splits text before the merges, of the public byte-level vocabularies.
@@ -40,6 +41,7 @@ SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006
 _WHITE = SPACES + " "
 _PRETOKEN = regex.compile(PATTERN.replace(r"[^\s", f"[^{_WHITE}").replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]"))
 _PIECE = regex.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+_CUT = regex.compile(f"[^{_WHITE}] ")
 _ASCII_ENDS = [c + " " for c in SPACES[:5]]
 _OTHER_ENDS = [c + " " for c in SPACES[5:]]
 
@@ -89,6 +91,7 @@ class ByteBPE:
         self.bytes = np.frombuffer(b"".join(words.get(i, b"") for i in range(self.size)), np.uint8)
         self.byte_offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
+        self.use = None
         self.clear()
 
     def clear(self) -> None:
@@ -128,9 +131,27 @@ class ByteBPE:
         return symbols[order].astype(np.int32), np.bincount(of, minlength=len(words))
 
     def trim(self) -> None:
-        if len(self.piece) > CACHE_PIECES:
+        """Starts the cache anew once it is beyond its bound; a step adds no more to it than its own text."""
+        if self.piece.n_bytes + self.pretoken.n_bytes > CACHE_BYTES:
             self.clear()
 
+    def cuts(self, text: str | None) -> list[str | None]:
+        """``text`` in parts of about ENCODE_BYTES characters that have the ids of the whole, one behind the other.
+
+        A cut is where a plain space stands behind other than white space, as it opens a piece. A
+        text that may hold a special token's string, or has no such place, stays whole.
+        """
+        if text is None or len(text) <= ENCODE_BYTES or any(s in text for s in self.special):
+            return [text]
+        out, a = [], 0
+        while len(text) - a > ENCODE_BYTES:
+            found = _CUT.search(text, a + ENCODE_BYTES)
+            if not found:
+                break
+            out.append(text[a : found.end() - 1])
+            a = found.end() - 1
+        return [*out, text[a:]]
+
     def split(self, text: str | None) -> list[str]:
         """The pieces of a text; a special token's string is a piece of its own."""
         if not text:
@@ -163,6 +184,13 @@ class ByteBPE:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and how many each text has."""
+        parts = [self.cuts(t) for t in texts]
+        if all(len(p) == 1 for p in parts):
+            return self._encode(texts)
+        made = [[self._encode([x]) for x in p] for p in parts]
+        return np.concatenate([ids for p in made for ids, _ in p]), np.array([sum(int(n[0]) for _, n in p) for p in made])
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         self.trim()
         number, count = self.numbered(texts)
         if self.piece.new:
@@ -199,10 +227,18 @@ class ByteBPE:
         return raw, lengths
 
 
-@lru_cache(maxsize=4)
 def byte_bpe(path: str, use: str) -> ByteBPE:
-    """One vocabulary per worker, path and use, as each use fills the cache with rows of its own."""
-    return ByteBPE(path)
+    """The worker's vocabulary of ``path``; the cache starts anew with another use, as each fills it with rows of its own."""
+    bpe = kept(("byte_bpe", path), lambda: ByteBPE(path))
+    if bpe.use != use:
+        bpe.clear()
+        bpe.use = use
+    return bpe
+
+
+def lists(flat: np.ndarray, count: np.ndarray) -> pa.Array:
+    """An array of lists of ``count`` elements each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat))
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -214,16 +250,13 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     """
 
     def run(texts: list) -> list[pa.Array]:
-        flat, count = byte_bpe(vocabulary, "ids").encode(texts)
-        return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat))]
+        return [lists(*byte_bpe(vocabulary, "ids").encode(texts))]
 
-    return append_columns(df, text, [T.StructField(fresh(df, ids), T.ArrayType(T.IntegerType()), True)], run, ENCODE_BYTES)
+    return append_columns(df, text, [T.StructField(fresh(df, ids), T.ArrayType(T.IntegerType()), True)], run, ENCODE_BYTES, ("byte_bpe", vocabulary))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the texts of the id lists in ``ids`` in a new column ``text``; null and empty lists give the empty text."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     schema = T.StructType([*df.schema.fields, T.StructField(fresh(df, text), T.StringType(), True)])
     at, names = df.columns.index(ids), to_arrow_schema(schema).names
 
@@ -235,23 +268,48 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
             cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(size) - size) // DECODE_IDS)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(a, b - a)
-                lists = part.column(at).fill_null([])
-                count = np.diff(lists.offsets.to_numpy())
-                flat = np.asarray(lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
+                given = part.column(at).fill_null([])
+                count = np.diff(given.offsets.to_numpy())
+                flat = np.asarray(given.flatten().fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bpe.decode(flat, count), pa.string())], names=names)
 
     return df.mapInArrow(run, schema)
 
 
+def code(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with both the ids of ``text`` and the text that those decode to: ``encode`` and ``decode`` in one pass, so that
+    a task has one Python worker and one vocabulary."""
+
+    def run(texts: list) -> list[pa.Array]:
+        bpe = byte_bpe(vocabulary, "ids")
+        flat, count = bpe.encode(texts)
+        return [lists(flat, count), pa.array(bpe.decode(flat.astype(np.int64), count), pa.string())]
+
+    fields = [T.StructField(fresh(df, ids), T.ArrayType(T.IntegerType()), True), T.StructField(fresh(df, decoded), T.StringType(), True)]
+    return append_columns(df, text, fields, run, ENCODE_BYTES, ("byte_bpe", vocabulary))
+
+
+def digests(ids: str, decoded: str) -> list[Column]:
+    """Number of tokens, and digests of the decimal ids and of the decoded text."""
+    return [
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col(decoded), 256).alias("decoded_sha256"),
+    ]
+
+
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per document its id, number of tokens, and digests of the ids and of the text that they decode to."""
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    return code(docs.select("doc_id", F.col("text").cast("string").alias("text")), vocabulary).select("doc_id", *digests("ids", "decoded"))
+
+
+def encoded_corpus(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """Per row of ``docs`` doc_id, lang, source, its ids, and the figures of ``round_trip``, which prove that the ids decode to the text.
+
+    Repeated rows stay, each with its ids; nulls in doc_id, lang and source stay null; a null or empty text has no ids.
+    """
+    coded = code(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang", "source"), vocabulary)
+    return coded.select("doc_id", "lang", "source", "ids", *digests("ids", "decoded"))
 
 
 def default_vocabulary() -> str:

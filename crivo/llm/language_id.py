@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import Index, append_columns, fresh, ragged, table
 
 PLACES, LENGTHS = 1 << 18, (1, 2, 3, 4)
-MAX_LEARNED, CACHE_WORDS = 3_000, 300_000
+MAX_LEARNED, CACHE_BYTES = 3_000, 32_000_000
 UNKNOWN = "und"
 
 
@@ -77,7 +77,7 @@ class LanguageModel:
         self.__init__(state["languages"], weights, state["bias"], state["temperature"])
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        if self.sums is None or len(self.word) > CACHE_WORDS:
+        if self.sums is None or self.word.n_bytes > CACHE_BYTES:
             self.word, self.sums = Index(), np.zeros((0, len(self.languages) + 1), np.float32)
         split = [t.lower().split() if t else [] for t in texts]
         count = np.fromiter(map(len, split), np.int64, len(split))

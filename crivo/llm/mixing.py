@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, fresh_prefix, stored, table
+from .common import Steps, fresh, fresh_prefix, stored, table
 
 # What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,7 +71,8 @@ def solve(histogram: DataFrame, sources: DataFrame, cap: int = 2) -> DataFrame:
     state = sources.join(scale, "sid").withColumn("free", (F.col("target") < cap * F.col("source_size")) & (F.col("target") > 0))
     for name, value in (("lam", 0.0), ("low", float("-inf")), ("high", float("inf")), ("off", float("inf"))):
         state = state.withColumn(name, F.lit(value))
-    state = stored(state.select("sid", "target", "scale", "free", "lam", "low", "high", "off"), "dual")
+    steps = Steps("dual")
+    state = steps.store(state.select("sid", "target", "scale", "free", "lam", "low", "high", "off"))
     for _ in range(STEPS):
         w = rate(F.col("lam"), F.col("size"), F.col("scale"), cap)
         sums = (
@@ -87,9 +88,8 @@ def solve(histogram: DataFrame, sources: DataFrame, cap: int = 2) -> DataFrame:
         bounded = (low > float("-inf")) & (high < float("inf"))
         step = F.when(above == 0, F.col("lam")).when(inside, newton).when(bounded, (low + high) / 2).otherwise(far)
         found = state.join(sums, "sid", "left")
-        state = stored(
-            found.select("sid", "target", "scale", "free", F.when(F.col("free"), step).otherwise(F.col("lam")).alias("lam"), low.alias("low"), high.alias("high"), F.when(F.col("free"), F.abs(above) / F.col("target")).otherwise(F.lit(0.0)).alias("off")),
-            "dual",
+        state = steps.store(
+            found.select("sid", "target", "scale", "free", F.when(F.col("free"), step).otherwise(F.col("lam")).alias("lam"), low.alias("low"), high.alias("high"), F.when(F.col("free"), F.abs(above) / F.col("target")).otherwise(F.lit(0.0)).alias("off"))
         )
         if (state.agg(F.max("off")).first()[0] or 0) <= CLOSE:
             break
@@ -157,8 +157,10 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, rate, copies, taken.
 
-    Null and empty texts have size 0 and are taken 0 times; a null source is a source; rows that
-    repeat a doc_id get the same decision; other columns don't matter; an empty table gives none.
+    Null and empty texts have size 0 and are taken 0 times; long texts count whole; a null source is
+    a source; rows that repeat a doc_id get the same decision, as do rows whose ids have the same
+    hash (a tie: none of them gets the copy that would be left for some); other columns don't
+    matter; an empty table gives none.
     """
     sizes = sizes_of(docs)
     sources, cells, buckets = plan(sizes, weights, share, cap)

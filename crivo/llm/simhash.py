@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, fresh, stored, table
+from .common import Steps, append_columns, fresh, stored, table
 
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Fingerprints of a group that are compared with each other at a time.
@@ -219,7 +219,8 @@ def links(prints: DataFrame, bits: int = BITS, limit: int = GROUP_ROWS) -> DataF
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root): for every node of the links (a, b) the least node that it is joined to."""
-    edges = stored(edges.filter("a <> b"), "links")
+    steps = Steps("links")
+    edges = steps.store(edges.filter("a <> b"))
     seen = None
     for _ in range(STEPS):
         # large star: of a node's neighbours those above it join the least of them and itself
@@ -229,7 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: of a node's lower neighbours all, and itself, join the least
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(small, "links")
+        edges = steps.store(small)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             break
@@ -245,12 +246,12 @@ def fingerprint_column(df: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """Rows (fp, component_id): each fingerprint's smallest reachable doc_id, from stored rows (doc_id, fp)."""
+    """Rows (fp, root, component_id): each fingerprint's group and the smallest doc_id in it, from stored rows (doc_id, fp)."""
     prints = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fingerprints")
     root = components(links(prints))
     of = prints.join(root, prints["fp"] == root["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return of.join(least, "root").select("fp", "component_id")
+    return of.join(least, "root").select("fp", "root", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -269,11 +270,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their group; rows without a doc_id stay."""
-    text, fp = fresh(docs, "_text"), fresh(docs, "_fp")
-    prints = stored(fingerprint_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias(text)), text, fp).select("doc_id", F.col(fp).alias("fp")), "fingerprints")
-    dropped = prints.join(grouped(prints), "fp").filter("doc_id <> component_id").select(F.col("doc_id").alias(fp)).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped[fp], "left_anti")
+    """One row of each group of ``docs``: that with the smallest doc_id, rows without one last.
+
+    Of rows with one doc_id the one with the smallest hash of its text stays, and any of those that
+    are equal in that as well. Rows are told apart by a number of their own that is stored with
+    them, so equal rows, and different texts with one doc_id, are decided on each for itself.
+    """
+    text, fp, row = fresh(docs, "_text"), fresh(docs, "_fp"), fresh(docs, "_row")
+    marked = fingerprint_column(docs.withColumn(text, F.col("text").cast("string")), text, fp).drop(text)
+    marked = stored(marked.withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    id_ = F.col("doc_id").cast("long")
+    prints = marked.select(id_.alias("doc_id"), F.col(fp).alias("fp"), F.struct(id_.isNull(), id_, F.xxhash64(F.col("text").cast("string")), F.col(row)).alias("place"), F.col(row).alias("row"))
+    of = prints.join(grouped(prints.select("doc_id", "fp")), "fp").select("root", "place", "row")
+    first = of.groupBy("root").agg(F.min("place").alias("first"))
+    dropped = of.join(first, "root").filter("place <> first").select(F.col("row").alias(row))
+    return marked.join(dropped, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,6 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -35,12 +34,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import SPACES
-from .common import Index, Rows, ragged, shared_dir, slices, stored, table
+from .common import Index, Rows, kept, ragged, shared_dir, slices, stored, table
 
 MAGIC = b"CRVPLN01"
 #: Ids in a block, and in a shard at most (a document is never cut, so one more document may follow).
 BLOCK_IDS, SHARD_IDS = 65_536, 16_000_000
-CACHE_PIECES = 1_000_000
+#: Bytes that a worker's words, and the parts that they share, may take, about, before they start anew.
+CACHE_BYTES = 64_000_000
 
 _BETWEEN = regex.compile(f"[{SPACES} ]+")
 
@@ -73,9 +73,9 @@ class WordEncoder:
 
     def trim(self) -> None:
         """Starts a cache anew that has grown beyond its bound; words go more often than the parts that many of them share."""
-        if len(self.word) > CACHE_PIECES:
+        if self.word.n_bytes > CACHE_BYTES:
             self.word, self.word_rows = Index(), Rows()
-        if len(self.part) > CACHE_PIECES:
+        if self.part.n_bytes > CACHE_BYTES:
             self.part, self.part_rows = Index(), Rows()
 
     def words(self, text: str | None) -> list[str]:
@@ -112,13 +112,12 @@ class WordEncoder:
         return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(count)])])
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder per worker and vocabulary; the library's own threads stay off, as Spark deals out the work."""
+    """The worker's encoder of a vocabulary; the library's own threads stay off, as Spark deals out the work."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordEncoder(path)
+    return kept(("word_encoder", path), lambda: WordEncoder(path))
 
 
 def to_planes(ids: np.ndarray, bits: bool = True) -> list[bytes]:
