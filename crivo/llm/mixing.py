@@ -11,8 +11,9 @@ Rates become copies: each document gets the whole part, and of the documents of
 one more. How many is rounded along a source's sizes from the largest down, each handing its
 remainder on, so that a source misses its target by less than a small document; that walk is over
 the histogram's rows of one source, of which there are as many as documents have distinct sizes.
-Which ones is up to their hashes, in cells (source, size, hash bucket) that stay small even if a
-third of all documents are copies of one text.
+Which ones is up to their hashes: those below one threshold per (source, size), found in ranges of
+the hash that stay small even if a third of all documents are copies of one text. So what goes to
+the documents has a row per (source, size), and is broadcast while its rows are few: texts stay put.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Documents of one cell that the choice of the last copies looks at together, on average at most.
 CELL_DOCS = 5_000
+#: Rows of decisions up to which they are broadcast to the documents, of about 50 bytes each.
+BROADCAST_ROWS = 500_000
 STEPS, CLOSE = 60, 1e-9
 
 
@@ -110,42 +113,52 @@ def round_rates(cells: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": cells["sid"], "size": cells["size"], "docs": cells["n"], "rate": cells["rate"], "base": base, "extra": extra})
 
 
-def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2) -> tuple[DataFrame, DataFrame, int]:
-    """From rows (doc_id, source, size): the sources, the cells with their copies, and the number of hash buckets.
+def hashed(doc_id: Column) -> Column:
+    """The 63 bits, as a number that isn't negative, that decide among the documents of one size."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id), 1)
 
-    A cell is (sid, size, bucket); its documents get ``base`` copies, and one more if their hash is
-    below ``below`` (null: all if ``more``).
+
+def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2) -> tuple[DataFrame, DataFrame]:
+    """From rows (doc_id, source, size): the sources, and the copies of each (sid, size).
+
+    A size's documents get ``base`` copies, and one more if their hash is below ``below`` (null: all
+    if ``extra`` is ``docs``, else none). The hash that parts them is found in two passes: counts in ranges of the
+    hash tell in which range it lies, and only that range's documents are put in order.
     """
     sources = stored(targets(sizes, weights, share, cap), "sources")
     numbered = sizes.join(sources.select("sid", "source"), sizes["source"].eqNullSafe(sources["source"])).select("doc_id", "sid", "size")
     buckets = max(1, -(-sizes.count() // CELL_DOCS))
-    numbered = numbered.filter("size > 0").withColumn("hash", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
-    histogram = stored(numbered.groupBy("sid", "size").agg(F.count("*").alias("n")), "size-histogram")
+    numbered = numbered.filter("size > 0").withColumn("hash", hashed(F.col("doc_id")))
+    numbered = numbered.withColumn("bucket", F.shiftright(F.shiftright("hash", 32) * F.lit(buckets).cast("long"), 31))
+    cells = stored(numbered.groupBy("sid", "size", "bucket").agg(F.count("*").alias("n")), "cells")
+    histogram = stored(cells.groupBy("sid", "size").agg(F.sum("n").alias("n")), "size-histogram")
     dual = solve(histogram, sources, cap)
     value = F.when(F.col("lam").isNotNull(), rate(F.col("lam"), F.col("size"), F.col("scale"), cap)).when(F.col("target") > 0, F.lit(float(cap))).otherwise(F.lit(0.0))
     rated = histogram.join(dual, "sid").select("sid", "size", "n", value.alias("rate"))
-    rounded = rated.groupBy("sid").applyInPandas(round_rates, "sid long, size long, docs long, rate double, base long, extra long")
-    # a size's further copies, dealt among its hash buckets in proportion
-    cells = numbered.groupBy("sid", "size", "bucket").agg(F.count("*").alias("n")).join(rounded, ["sid", "size"])
-    upto = F.sum("n").over(W.partitionBy("sid", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
-    dealt = lambda n: F.floor(n.cast("decimal(19,0)") * F.col("extra") / F.col("docs"))
-    cells = stored(cells.withColumn("upto", upto).select("sid", "size", "bucket", "n", "rate", "base", (dealt(F.col("upto")) - dealt(F.col("upto") - F.col("n"))).cast("long").alias("more")), "cells")
-    # the hash of the first document that gets no further copy
-    ranked = numbered.join(cells.filter("more > 0 and more < n").select("sid", "size", "bucket", "more"), ["sid", "size", "bucket"])
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("sid", "size", "bucket").orderBy("hash"))).filter(F.col("rank") == F.col("more") + 1)
-    return sources, stored(cells.join(ranked.select("sid", "size", "bucket", F.col("hash").alias("below")), ["sid", "size", "bucket"], "left"), "cells"), buckets
-
-
-def with_copies(docs: DataFrame, sources: DataFrame, cells: DataFrame, buckets: int, size: str, out: str) -> DataFrame:
+    rounded = stored(rated.groupBy("sid").applyInPandas(round_rates, "sid long, size long, docs long, rate double, base long, extra long"), "rounded")
+    # the range that holds the first document without a further copy, and that document's hash
+    before = F.coalesce(F.sum("n").over(W.partitionBy("sid", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    some = rounded.filter("extra > 0 and extra < docs").select("sid", "size", "extra")
+    parted = cells.join(some, ["sid", "size"]).withColumn("before", before).filter("before <= extra and extra < before + n")
+    ranked = numbered.join(parted.select("sid", "size", "bucket", (F.col("extra") - F.col("before") + 1).alias("nth")), ["sid", "size", "bucket"])
+    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("sid", "size", "bucket").orderBy("hash"))).filter(F.col("rank") == F.col("nth"))
+    return sources, stored(rounded.join(ranked.select("sid", "size", F.col("hash").alias("below")), ["sid", "size"], "left"), "copies")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if a count of its rows allows it; otherwise a join with it is a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def with_copies(docs: DataFrame, sources: DataFrame, sized: DataFrame, size: str, out: str) -> DataFrame:
     """``docs`` (with doc_id, source and the column ``size``) and a struct ``out``: source_size, target, rate, copies."""
     p = fresh_prefix(docs, "_mixing_")
-    s = sources.select(*(F.col(c).alias(p + c) for c in ("sid", "source", "source_size", "target")))
-    c = cells.select(*(F.col(c).alias(p + c) for c in ("size", "bucket", "n", "rate", "base", "more", "below")), F.col("sid").alias(p + "of"))
-    hashed = docs.withColumn(p + "hash", F.xxhash64(F.col("doc_id").cast("long"))).withColumn(p + "at", F.pmod(p + "hash", F.lit(buckets)))
-    joined = hashed.join(s, F.col("source").cast("string").eqNullSafe(F.col(p + "source")), "left")
-    joined = joined.join(c, (F.col(p + "sid") == F.col(p + "of")) & (F.col(size) == F.col(p + "size")) & (F.col(p + "at") == F.col(p + "bucket")), "left")
-    below = F.when(F.col(p + "more") >= F.col(p + "n"), F.lit(True)).when(F.col(p + "more") == 0, F.lit(False)).otherwise(F.col(p + "hash") < F.col(p + "below"))
-    copies = F.coalesce(F.col(p + "base") + below.cast("long"), F.lit(0))
+    s = small(sources.select(*(F.col(c).alias(p + c) for c in ("sid", "source", "source_size", "target"))))
+    c = small(sized.select(*(F.col(c).alias(p + c) for c in ("size", "docs", "rate", "base", "extra", "below")), F.col("sid").alias(p + "of")))
+    joined = docs.join(s, F.col("source").cast("string").eqNullSafe(F.col(p + "source")), "left")
+    joined = joined.join(c, (F.col(p + "sid") == F.col(p + "of")) & (F.col(size) == F.col(p + "size")), "left")
+    more = F.when(F.col(p + "extra") >= F.col(p + "docs"), F.lit(True)).otherwise(F.coalesce(hashed(F.col("doc_id").cast("long")) < F.col(p + "below"), F.lit(False)))
+    copies = F.coalesce(F.col(p + "base") + more.cast("long"), F.lit(0))
     return joined.select(*docs.columns, F.struct(F.col(p + "source_size").alias("source_size"), F.col(p + "target").alias("target"), F.coalesce(F.col(p + "rate"), F.lit(0.0)).alias("rate"), copies.alias("copies")).alias(out))
 
 
@@ -163,15 +176,15 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     matter; an empty table gives none.
     """
     sizes = sizes_of(docs)
-    sources, cells, buckets = plan(sizes, weights, share, cap)
-    return with_copies(sizes, sources, cells, buckets, "size", "mix").select("doc_id", "source", "size", "mix.*", (F.col("size") * F.col("mix.copies")).alias("taken"))
+    sources, sized = plan(sizes, weights, share, cap)
+    return with_copies(sizes, sources, sized, "size", "mix").select("doc_id", "source", "size", "mix.*", (F.col("size") * F.col("mix.copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    sources, cells, buckets = plan(sizes_of(docs), weights, share, cap)
+    sources, sized = plan(sizes_of(docs), weights, share, cap)
     size, out = fresh(docs, "_size"), fresh(docs, "_mix")
-    mixed = with_copies(docs.withColumn(size, size_of(F.col("text").cast("string"))), sources, cells, buckets, size, out)
+    mixed = with_copies(docs.withColumn(size, size_of(F.col("text").cast("string"))), sources, sized, size, out)
     repeated = mixed.filter(F.col(f"{out}.copies") > 0).withColumn(out, F.explode(F.sequence(F.lit(1), F.col(f"{out}.copies").cast("int"))))
     return repeated.select(*docs.columns)
 
