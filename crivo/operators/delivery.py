@@ -67,8 +67,12 @@ def payload_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith("_") and c != "line"]
 
 
-def send(df: DataFrame, transport: Transport, retry: Retry | None = None, dry_run: bool = False) -> DataFrame:
-    """``df`` with status_http, categoria, sucesso, mensagem, id_externo, idempotency_key, tentativas, pode_reenviar; one call per row."""
+def send(df: DataFrame, transport: Transport, outcomes: str, retry: Retry | None = None, dry_run: bool = False) -> DataFrame:
+    """``df`` with status_http, categoria, sucesso, mensagem, id_externo, idempotency_key, tentativas, pode_reenviar.
+
+    Rows are sent here, a call and its retries each, and their outcomes written to ``outcomes``, a new folder that
+    all executors share (an existing one is an error). What is returned reads that folder, so no use of it sends again.
+    """
     names, retry = payload_columns(df), retry or Retry()
     keyed = df.withColumn("idempotency_key", idempotency_key(names))
     if dry_run:
@@ -82,7 +86,9 @@ def send(df: DataFrame, transport: Transport, retry: Retry | None = None, dry_ru
                 yield batch.assign(status_http=pd.array([a[0] for a in answers], "Int32"), _body=[a[1] for a in answers], tentativas=[a[2] for a in answers])
 
         answered = keyed.mapInPandas(run, schema)
-    return with_outcome(answered).drop("_body")
+    told = with_outcome(answered).drop("_body")
+    told.write.parquet(outcomes)
+    return df.sparkSession.read.schema(told.schema).parquet(outcomes)
 
 
 def with_outcome(answered: DataFrame) -> DataFrame:

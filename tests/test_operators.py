@@ -3,10 +3,12 @@
 import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from crivo.operators import audit, cleaning, delivery, profile, routing, rules
 from crivo.plans.runner import ExpectedError, Pipeline, Result, chained
+from crivo.sources import sinks
 
 YAML = """
 columns:
@@ -165,9 +167,9 @@ def transport(payload, headers):
     return answer[payload["nome"]]
 
 
-def test_delivery(spark):
+def test_delivery(spark, tmp_path):
     rows = spark.createDataFrame([(k, n, "m") for k, n in enumerate("abcde", 2)], "line long, nome string, _nota string")
-    out = delivery.send(rows, transport, delivery.Retry(attempts=2, first=0.0, jitter=0.0))
+    out = delivery.send(rows, transport, str(tmp_path / "outcomes"), delivery.Retry(attempts=2, first=0.0, jitter=0.0))
     got = {r["nome"]: (r["categoria"], r["sucesso"], r["tentativas"], r["pode_reenviar"], r["id_externo"]) for r in out.collect()}
     assert got == {"a": ("sucesso", True, 1, False, "9"), "b": ("validacao", False, 1, False, None), "c": ("duplicado", False, 1, False, None), "d": ("temporario", False, 2, True, None), "e": ("temporario", False, 2, True, None)}
     rolled = delivery.roll_up(out).first()
@@ -176,10 +178,27 @@ def test_delivery(spark):
     assert sent.count() == 1 and failed.columns == rows.columns
     told = {r["line"]: r["_resultado"] for r in delivery.report_rows(rows, out).collect()}
     assert told[2] == "sucesso" and told[4] == "duplicado"
-    dry = delivery.send(rows, transport, dry_run=True)
+    dry = delivery.send(rows, transport, str(tmp_path / "dry"), dry_run=True)
     assert dry.filter("tentativas = 0").count() == 5 and delivery.without_meta(rows).columns == ["line", "nome"]
 
 
+def test_rows_are_sent_once_whatever_reads_their_outcomes(spark, tmp_path):
+    calls, outcomes = tmp_path / "calls", str(tmp_path / "outcomes")
+
+    def counted(payload, headers):
+        with open(calls, "a") as f:
+            f.write(headers["Idempotency-Key"] + "\n")
+        return (200, "", {}) if payload["nome"] < "c" else (400, "", {})
+
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate("abcde", 2)], "line long, nome string")
+    out = delivery.send(rows, counted, outcomes)
+    sent, failed = delivery.sent_and_failed(out)
+    sinks.write_delivery(sent, failed, delivery.roll_up(out), str(tmp_path / "folder"))
+    assert (sent.count(), failed.count(), len(calls.read_text().splitlines())) == (2, 3, 5)
+    with pytest.raises(AnalysisException):
+        delivery.send(rows.filter("line < 0"), counted, outcomes)
+
+
 def test_retries_wait_as_asked():
     waits, answers = [], iter([(429, "", {"Retry-After": "2"}), (500, "", {}), (200, "ok", {})])
     assert delivery.call(lambda p, h: next(answers), {}, {}, delivery.Retry(jitter=0.0), waits.append) == (200, "ok", 3) and waits == [2.0, 1.0]
