@@ -43,13 +43,18 @@ def write_split(valid: DataFrame, invalid: DataFrame, folder: str) -> None:
 
 
 def write_validation(totals: DataFrame, valid: DataFrame, invalid: DataFrame, issues: DataFrame, folder: str) -> None:
-    """The split, all issues, a JSON summary, and a workbook of four sheets with the first rows of each."""
+    """The split, all issues, a JSON summary, and a workbook of four sheets with the first REPORT_ROWS rows of each by line; its summary says how many rows each sheet leaves out."""
     write_split(valid, invalid, folder)
     save(issues, f"{folder}/problemas.csv")
     Path(folder).mkdir(parents=True, exist_ok=True)
     Path(folder, "relatorio.json").write_text(json.dumps(totals.first().asDict(), default=str, indent=2, ensure_ascii=False), "utf-8")
-    part = lambda df: (df.columns, [list(r) for r in df.limit(REPORT_ROWS).collect()])
-    Path(folder, "relatorio.xlsx").write_bytes(workbook({"Resumo": (["campo", "valor"], [list(x) for x in totals.first().asDict().items()]), "Registros validos": part(valid), "Registros invalidos": part(invalid), "Auditoria": part(issues)}))
+    summary, sheets = [list(x) for x in totals.first().asDict().items()], {}
+    for name, df in (("Registros validos", valid), ("Registros invalidos", invalid), ("Auditoria", issues)):
+        order = [c for c in ("line", "seq") if c in df.columns]
+        sheets[name] = (df.columns, [list(r) for r in (df.orderBy(*order) if order else df).limit(REPORT_ROWS).collect()])
+        if left_out := df.count() - len(sheets[name][1]):
+            summary.append([f"Omitidos: {name}", left_out])
+    Path(folder, "relatorio.xlsx").write_bytes(workbook({"Resumo": (["campo", "valor"], summary)} | sheets))
 
 
 def write_delivery(sent: DataFrame, failed: DataFrame, rolled: DataFrame, folder: str) -> None:

@@ -1,6 +1,7 @@
 """Operators on small sheets, logs and deliveries."""
 
 import datetime
+import zipfile
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -199,6 +200,17 @@ def test_rows_are_sent_once_whatever_reads_their_outcomes(spark, tmp_path):
         delivery.send(rows.filter("line < 0"), counted, outcomes)
 
 
+def test_a_validation_workbook_tells_what_it_leaves_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "REPORT_ROWS", 3)
+    lines = spark.createDataFrame([(k, f"v{k}") for k in (9, 7, 5, 3, 2)], "line long, nome string").repartition(4)
+    sinks.write_validation(spark.createDataFrame([(8, 3)], "total long, erros long"), lines, lines.filter("line < 4"), lines.withColumn("seq", F.lit(0)), str(tmp_path))
+    with zipfile.ZipFile(tmp_path / "relatorio.xlsx") as z:
+        summary, valid, invalid = (z.read(f"xl/worksheets/sheet{k}.xml").decode() for k in (1, 2, 3))
+    assert all(x in summary for x in ("Omitidos: Registros validos", "Omitidos: Auditoria")) and "Omitidos: Registros invalidos" not in summary
+    assert [v for v in ("v2", "v3", "v5", "v7", "v9") if v in valid] == ["v2", "v3", "v5"] and "v2" in invalid
+    assert spark.read.option("header", True).csv(str(tmp_path / "registros_validos.csv")).count() == 5
+
+
 def test_retries_wait_as_asked():
     waits, answers = [], iter([(429, "", {"Retry-After": "2"}), (500, "", {}), (200, "ok", {})])
     assert delivery.call(lambda p, h: next(answers), {}, {}, delivery.Retry(jitter=0.0), waits.append) == (200, "ok", 3) and waits == [2.0, 1.0]
