@@ -18,7 +18,7 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-@pytest.mark.parametrize("text", [t for i, t, *_ in AWKWARD if i != 5] + ["A B", "a b c", "É Éa AÉ x", "one two\x0bthree four"])
+@pytest.mark.parametrize("text", [t for _, t, *_ in AWKWARD] + ["A B", "a b c", "É Éa AÉ x", "one two\x0bthree four"])
 def test_fingerprints(text):
     assert int(sh.fingerprints([text])[0]) == plain_fingerprint(text)
 
