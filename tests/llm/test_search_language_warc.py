@@ -58,6 +58,79 @@ def test_bounds_avoid_computations():
     assert shard.computed < 20 * 6000 / 2
 
 
+def clustered_vectors(n, clusters, dims, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dims))
+    x = centres[rng.integers(0, clusters, n)] + rng.normal(size=(n, dims)) * 0.1
+    return np.floor(64 * x / np.linalg.norm(x, axis=1)[:, None])
+
+
+def cells_and_shards(x, pivots, shard_rows):
+    longest = (x**2).sum(1).max()
+    cells = mtree.Cells(x[mtree.spread(mtree.lifted(x, longest), pivots)], longest)
+    cell, d = cells.place(x)
+    known, count = np.unique(cell, return_counts=True)
+    cells.deal(known, *(np.array([f(d[cell == c]) for c in known]) for f in (np.min, np.max)), count, shard_rows)
+    return cells, cells.first_shard[cell], longest
+
+
+def test_few_shards_and_few_pairs_of_64_dimensions():
+    x = clustered_vectors(8000, 40, 64, 5)
+    ids = np.arange(8000)
+    cells, of, longest = cells_and_shards(x, 80, 600)
+    shards = {s: mtree.Shard(mtree.build_pages(s, ids[of == s], x[of == s], longest)) for s in np.unique(of)}
+    assert len(shards) > 10 and all(len(np.concatenate(s.ids)) <= 600 for s in shards.values())
+    queries = ids[::20]
+    found = {}
+    first = cells.first(queries, x[queries])
+    worst = np.full(len(queries), -np.inf)
+    for s, shard in shards.items():
+        rows = np.flatnonzero(first == s)
+        if len(rows):
+            i, score = shard.search(queries[rows], x[queries[rows]], 20, longest)
+            worst[rows] = score[:, -1]
+            for r, a, b in zip(rows, i, score):
+                found.setdefault(r, []).extend(zip(-b, a))
+    q, to = cells.admitted(x[queries], worst)
+    assert len(q) < 2 * len(queries)  # hardly any query goes on beyond its first shard
+    for s, shard in shards.items():
+        rows = q[(to == s) & (first[q] != s)]
+        if len(rows):
+            i, score = shard.search(queries[rows], x[queries[rows]], 20, longest, worst[rows])
+            for r, a, b in zip(rows, i, score):
+                found.setdefault(r, []).extend(zip(-b, a))
+    scores = x[queries] @ x.T
+    for r, query in enumerate(queries):
+        order = np.lexsort((ids, -scores[r]))
+        assert [i for _, i in sorted(found[r])[:20]] == order[order != query][:20].tolist()
+    assert sum(s.computed for s in shards.values()) < 0.1 * len(queries) * 8000
+
+
+def test_vectors_alike_in_all_directions_cost_a_scan_at_most():
+    x = np.floor(64 * (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(np.random.default_rng(8).normal(size=(3000, 64))))
+    longest = (x**2).sum(1).max()
+    shard = mtree.Shard(mtree.build_pages(0, np.arange(3000), x, longest))
+    shard.search(np.arange(150), x[:150], 20, longest)
+    assert shard.computed < 1.02 * 150 * 3000
+
+
+def test_copies_of_the_longest_vector(spark):
+    # equal vectors are at no distance, whatever the rounding of the coordinate that is added
+    rows = [(i, [0.7, 0.1, 3.3]) for i in range(300)] + [(i, [0.3, 0.2, i / 300]) for i in range(300, 700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (50, 10**6):
+        assert sorted(map(tuple, mtree.top_k(mtree.integer_vectors(df), "vec_id % 20 = 0", 20, shard_rows).collect())) == plain_top(floored(rows), 20)
+
+
+def test_rows_that_repeat_a_vec_id(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(7, rows[7][1]), (7, rows[8][1]), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, mtree.top_k(mtree.integer_vectors(df), "vec_id % 20 = 0", 20, 10, 2).collect()))
+    assert got == plain_top(floored(rows), 20) and sum(i == 7 for _, _, i, _ in got) > 3
+
+
 def test_op5_against_brute_force(spark, sf):
     from crivo.llm.registry import QUERIES
 
