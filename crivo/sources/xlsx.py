@@ -11,17 +11,14 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank
-from .tabular import SCAN_ROWS, TYPE_ROWS, Rejected, choose_sheet, find_header, score_figures, unique_names
+from .detect import Rejected, choose_sheet, header_scores, headers, sheet_scores, unique_names
 
 # Fixed values of the format.
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
@@ -91,32 +88,20 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, header_
     """The table of one workbook: all cells as text and ``line``; unless named, the sheet is found by figures over all
     its cells and the header by the first rows and those that follow them. The table is as wide as its widest row."""
     found = read_cells(spark, path).persist()
-    filled = found.filter(~is_blank(F.col("value")))
-    lines = filled.groupBy("sheet", "line").agg(F.count("*").alias("n"))
-    sizes, columns, grids = defaultdict(dict), defaultdict(dict), {}
-    for r in lines.groupBy("sheet", "n").agg(F.count("*").alias("rows")).collect():
-        sizes[r["sheet"]][r["n"]] = r["rows"]
-    for r in filled.groupBy("sheet", "col").agg(F.count("*").alias("rows")).collect():
-        columns[r["sheet"]][r["col"]] = r["rows"]
-    sheets = found.withColumn("at", F.monotonically_increasing_id()).groupBy("sheet").agg(F.max("col").alias("width"), F.max("line").alias("last"), F.min("at").alias("at")).orderBy("at").collect()
-    # a header is judged by the filled rows that follow it, wherever they are
-    below = lines.filter(F.col("line") > SCAN_ROWS).withColumn("k", F.row_number().over(W.partitionBy("sheet").orderBy("line"))).filter(F.col("k") <= TYPE_ROWS)
-    head: dict[str, dict[int, dict]] = defaultdict(lambda: defaultdict(dict))
-    for part in (found.filter(F.col("line") <= SCAN_ROWS), found.join(below, ["sheet", "line"], "left_semi")):
-        for r in part.select("sheet", "line", "col", "value").collect():
-            head[r["sheet"]][r["line"]][r["col"]] = r["value"]
-    row = lambda cells, width: [cells.get(k + 1) for k in range(width)]
-    for s in sheets:
-        own = head[s["sheet"]]
-        grids[s["sheet"]] = [row(own.get(i, {}), s["width"]) for i in [*range(1, min(SCAN_ROWS, s["last"]) + 1), *sorted(i for i in own if i > SCAN_ROWS)]]
-    scores = {s["sheet"]: score_figures(s["width"], sizes[s["sheet"]], [*columns[s["sheet"]].values()], find_header(grids[s["sheet"]])[1])[0] for s in sheets}
-    chosen = choose_sheet(scores, sheet)
-    width, last = next((s["width"], s["last"]) for s in sheets if s["sheet"] == chosen)
-    if header_row is not None and not 1 <= header_row <= last:
-        raise Rejected(f"linha de cabecalho {header_row} fora da aba (ela tem {last} linhas)")
-    at = header_row - 1 if header_row else find_header(grids[chosen])[0] or 0
+    try:
+        sheets = found.withColumn("at", F.monotonically_increasing_id()).groupBy("sheet").agg(F.max("col").alias("width"), F.max("line").alias("last"), F.min("at").alias("at"))
+        best = headers(header_scores(found, sheets.select("sheet", "width")))
+        scored = sheet_scores(found, sheets.select("sheet", "width"), best).join(sheets, "sheet").join(best, "sheet", "left").orderBy("at").collect()  # a row per sheet
+        chosen = choose_sheet({r["sheet"]: r["score"] for r in scored}, sheet)
+        told = next(r for r in scored if r["sheet"] == chosen)
+        width, last, at = told["width"], told["last"], (header_row or told["header_row"] or 1) - 1
+        if header_row is not None and not 1 <= header_row <= last:
+            raise Rejected(f"linha de cabecalho {header_row} fora da aba (ela tem {last} linhas)")
+        header = {r["col"]: r["value"] for r in found.filter((F.col("sheet") == chosen) & (F.col("line") == at + 1)).collect()}
+    finally:
+        found.unpersist()
+    names = unique_names([header.get(k + 1) for k in range(width)])
     of_table = found.filter(F.col("sheet") == chosen)
-    names = unique_names(row({r["col"]: r["value"] for r in of_table.filter(F.col("line") == at + 1).collect()}, width))
     body = of_table.filter(F.col("line") > at + 1)
     return body.groupBy("line").agg(*(F.max(F.when(F.col("col") == k + 1, F.col("value"))).alias(n) for k, n in enumerate(names)))
 

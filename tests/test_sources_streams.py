@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crivo.plans import catalog
-from crivo.sources import files, sinks, tabular, web, xlsx
+from crivo.sources import detect, files, sinks, tabular, web, xlsx
 from crivo.streaming import events
 
 
@@ -65,22 +65,117 @@ def test_quoted_line_ends(spark, tmp_path):
         tabular.read_delimited(spark, write(tmp_path, "open.csv", "a,b\nx,1\ny,2\nz,3\n\"w,4\nv,5\n"))
 
 
+def plain(data, header=1):
+    """What ``csv.reader`` reads below the header: (cells to the largest width, None where empty, line), without blank rows."""
+    rows = list(csv.reader(io.StringIO(data)))
+    width = max(map(len, rows))
+    return sorted((*[c or None for c in r], *[None] * (width - len(r)), k) for k, r in enumerate(rows, 1) if k > header and any(c.strip() for c in r))
+
+
+@pytest.fixture
+def split(spark):
+    names = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    was = [spark.conf.get(c) for c in names]
+
+    def to(size):
+        for c, v in zip(names, was if size is None else (str(size), "0"), strict=True):
+            spark.conf.set(c, v)
+
+    yield to
+    to(None)
+
+
+def order(rows):
+    return sorted(map(tuple, rows), key=lambda r: (r[-1], str(r)))
+
+
+@pytest.mark.parametrize("size", [None, 61, 700])
+def test_records_whoever_reads_them(spark, tmp_path, split, size):
+    """Ragged rows, quoted line ends and several files, under plans that put splits into other tasks."""
+    made = [f'n{i},"x\n""{i}"",\ny",{i}\n' if i % 5 == 0 else f"n{i},p{i},{i},mais,{i}\n" if i % 7 == 0 else f"n{i}\n" if i % 11 == 0 else f"n{i},p,{i}\n" for i in range(400)]
+    body = "".join(made)
+    path = write(tmp_path, "r.csv", "nome,obs,qtd\n" + body)
+    split(size)
+    df = tabular.read_delimited(spark, path)
+    want = plain("nome,obs,qtd\n" + body)
+    assert df.columns == ["nome", "obs", "qtd", "coluna_4", "coluna_5", "line"]
+    assert order(df.collect()) == order(want)
+    assert order(df.coalesce(1).collect()) == order(want)
+    assert order(df.union(df).collect()) == order(want + want)
+    assert order(df.repartition(3).coalesce(2).collect()) == order(want)
+    few = [tuple(r) for r in df.limit(9).collect()]
+    assert len(few) == 9 and set(few) <= set(want)
+    (tmp_path / "many").mkdir()
+    for k in range(3):
+        write(tmp_path, f"many/{k}.csv", "nome,obs,qtd\n" + "".join(f"{k}-{r}" for r in made[: 40 * k + 20]) + ('"cortada\nem duas",1,2,3,4,5,6\n' if k == 1 else ""))
+    both = tabular.read_delimited(spark, str(tmp_path / "many"))
+    read = [plain((tmp_path / f"many/{k}.csv").read_text()) for k in range(3)]
+    pad = [tuple([*r[:-1], *[None] * (8 - len(r)), r[-1]]) for rows in read for r in rows]
+    assert both.columns[-2:] == ["line", "file"] and order(tuple(r)[:-1] for r in both.coalesce(1).collect()) == order(pad)
+    write(tmp_path, "many/3.csv", "outro,obs,qtd\n1,2,3\n")
+    with pytest.raises(tabular.Rejected):
+        tabular.read_delimited(spark, str(tmp_path / "many"))
+
+
+def test_changed_files_are_refused(spark, tmp_path, split):
+    path = write(tmp_path, "c.csv", "a,b\n" + "x,1\n" * 100)
+    df = tabular.read_delimited(spark, path)
+    split(50)
+    with pytest.raises(Exception, match="examine-o de novo"):
+        df.count()
+
+
+def test_header_far_down(spark, tmp_path):
+    data = "".join(f"nota {i},,\n" for i in range(30)) + "nome,qtd,obs\nx,1,2\ny,3,4\n"
+    path = write(tmp_path, "h.csv", data)
+    df = tabular.read_delimited(spark, path, header_row=31)
+    assert df.columns == ["nome", "qtd", "obs", "line"] and order(df.collect()) == [("x", "1", "2", 32), ("y", "3", "4", 33)]
+    with pytest.raises(tabular.Rejected):
+        tabular.read_delimited(spark, path, header_row=99)
+
+
+@pytest.mark.parametrize("line,inside,want", [(b"a,b", False, (False, 1)), (b'"a,b', False, (True, 0)), (b'a","b', True, (True, 1)), (b'x"y,"z', False, (True, 1)), (b'"a""', False, (True, 0)), (b'""', False, (False, 0)), (b"a,b", True, (True, 0)), (b'"a"x,"b"', False, (False, 1))])
+def test_advance(line, inside, want):
+    assert tabular.advance(line, b",", inside) == want
+
+
 def test_no_header_is_refused(spark, tmp_path):
     with pytest.raises(tabular.Rejected):
         tabular.sniff(spark, write(tmp_path, "t.csv", "so um texto\n"))
     assert tabular.read_all_text(spark, write(tmp_path, "u.csv", "a,b\n1,\n")).collect() == [("1", "")]
 
 
-def test_sheets_are_told_apart():
+def scored(spark, *grids):
+    """The score and header of each grid, as a sheet."""
+    width = {k: max(map(len, g)) for k, g in enumerate(grids)}
+    cells = spark.createDataFrame([(str(k), i, j, c) for k, g in enumerate(grids) for i, row in enumerate(g, 1) for j, c in enumerate(row, 1)], "sheet string, line long, col int, value string")
+    widths = spark.createDataFrame([(str(k), w) for k, w in width.items()], "sheet string, width long")
+    best = detect.headers(detect.header_scores(cells, widths))
+    at = {r["sheet"]: r["header_row"] for r in best.collect()}
+    return [(r["score"], r["reason"], at.get(r["sheet"])) for r in detect.sheet_scores(cells, widths, best).orderBy("sheet").collect()]
+
+
+def test_sheets_are_told_apart(spark):
     table = [["produto", "qtd", "valor"], *[[f"p{i}", str(i), "1,5"] for i in range(6)]]
     panel = [[None, "Total", None, None], ["x", None, None, None], [None, None, None, "9"], [None, None, "z", None]]
-    good, bad = tabular.score_grid(table)[0], tabular.score_grid(panel)[0]
-    assert good > 0.8 and bad <= 0.2 and tabular.find_header(table)[0] == 0
-    assert tabular.choose_sheet({"a": good, "b": bad}) == "a" and tabular.choose_sheet({"a": good, "b": bad}, "b") == "b"
+    titled = [["Vendas", None, None], [None] * 3, *table, ["", " ", None]]
+    good, bad, low, none, thin, short = scored(spark, table, panel, titled, [[None, ""]], [["a"], ["b"]], [["a", "b"]])
+    # by hand: all cells filled, 7 rows of 10, and a header of 0.25 + 0.25 + 0.15 + 0.15 + 0.20
+    assert good == (round(0.30 + 0.25 + 0.15 + 0.07 + 0.20, 3), "7 linhas x 3 colunas", 1)
+    assert bad[0] <= 0.2 and low[2] == 3 and none[:2] == (0.0, "aba vazia") and thin[0] == 0.05 and short[:2] == (0.1, "poucas linhas preenchidas")
+    assert detect.choose_sheet({"a": good[0], "b": bad[0]}) == "a" and detect.choose_sheet({"a": good[0], "b": bad[0]}, "b") == "b"
     for scores, wanted in (({"a": 0.9, "b": 0.85}, None), ({"a": 0.2}, None), ({"a": 0.9}, "z")):
-        with pytest.raises(tabular.Rejected):
-            tabular.choose_sheet(scores, wanted)
-    assert tabular.unique_names(["a", "", "a", None, "a"]) == ["a", "coluna_2", "a_1", "coluna_4", "a_2"]
+        with pytest.raises(detect.Rejected):
+            detect.choose_sheet(scores, wanted)
+    assert detect.unique_names(["a", "", "a", None, "a"]) == ["a", "coluna_2", "a_1", "coluna_4", "a_2"]
+
+
+def test_header_alternatives(spark):
+    """Two rows that look like headers: the upper one of equals, the other named."""
+    grid = [["nome", "cidade"], ["rua", "bairro"], ["x", "y"], ["z", "w"], ["a", "b"], ["c", "d"], ["e", "f"]]
+    cells = spark.createDataFrame([("s", i, j, c) for i, row in enumerate(grid, 1) for j, c in enumerate(row, 1)], "sheet string, line long, col int, value string")
+    best = detect.headers(detect.header_scores(cells, spark.createDataFrame([("s", 2)], "sheet string, width long"))).first()
+    assert (best["header_row"], best["confidence"], best["alternatives"]) == (1, 1.0, [2, 3, 4])
 
 
 def test_workbooks(spark, tmp_path):
@@ -119,7 +214,7 @@ def test_sheets_are_read_to_their_end(spark, tmp_path):
     two = {"Painel": (["a", "b", "c"], [["x", 1, 2]] * 60 + spread), "Dados": (["produto", "qtd", "valor"], rows)}
     assert read(two).columns[1:] == ["produto", "qtd", "valor"]
     grid = [["a", "b", "c", *[None] * 4], *[["x", "1", "2", *[None] * 4]] * 60, *[r + [None] * (7 - len(r)) for r in spread]]
-    assert tabular.score_grid(grid)[0] <= 0.2
+    assert scored(spark, grid)[0][0] <= 0.2
 
 
 def test_footer(spark):
@@ -251,6 +346,22 @@ def test_rate_limit_in_batch_and_stream(spark, tmp_path):
     assert [r["hits"] for r in events.hits_in_window(df).orderBy("event_id").collect()][:5] == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("rows", [1, 7, 60])
+def test_rate_limit_over_ranges(spark, rows):
+    """One key has all rows but a few, with ties in time, bursts and gaps; its ranges agree with a loop over all."""
+    seconds = sorted((i * i * 37) % 900 + 3000 * (i % 3) for i in range(300))
+    df = hits(spark, seconds)
+    more = df.filter("event_id < 5").withColumn("key", F.col("key") + 1).unionByName(df.filter("event_id < 3").withColumn("key", F.lit(None).cast("long")))
+    got = events.rate_limited_batch(df.unionByName(more), 3, range_rows=rows).orderBy("event_id").collect()
+    assert len(got) == 308
+    assert [r["allowed"] for r in got if r["key"] == 1] == plain_limiter(seconds, 3)
+    assert [r["allowed"] for r in got if r["key"] == 2] == plain_limiter(seconds[:5], 3)
+    assert [r["allowed"] for r in got if r["key"] is None] == plain_limiter(seconds[:3], 3)
+    none = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, None)], df.select("key", "event_id", "ts").schema)
+    assert all(r["allowed"] for r in events.rate_limited_batch(none, 1, range_rows=rows).collect())
+    assert events.rate_limited_batch(df.limit(0), 1, range_rows=rows).count() == 0
+
+
 def test_hits_over_the_ends_of_buckets(spark):
     seconds = [(i * i * 31) % 4000 for i in range(400)]
     got = sorted((r["event_id"], r["hits"]) for r in events.hits_in_window(hits(spark, seconds)).collect())
