@@ -431,6 +431,21 @@ def route_plan(spark, d):
     return routing.plan(files, routing.Routes((routing.Route("pdf", ("*.PDF",), "{year}/{month:02d}"),), "docs")).select("o_orderkey", "destination", "status")
 
 
+@query("""WITH files AS (SELECT o_orderkey, 'docs/' || (o_custkey % 300) AS stem FROM orders),
+existing AS (SELECT DISTINCT 'docs/' || (c_custkey % 290) AS stem, CASE c_custkey % 3 WHEN 0 THEN 0 ELSE c_custkey % 7 + 1 END AS k FROM customer),
+ranked AS (SELECT f.o_orderkey, f.stem, row_number() OVER (PARTITION BY f.stem ORDER BY o_orderkey) - CASE WHEN e.stem IS NULL THEN 1 ELSE 0 END AS r FROM files f LEFT JOIN (SELECT stem FROM existing WHERE k = 0) e USING (stem)),
+free AS (SELECT s.stem, g.k, row_number() OVER (PARTITION BY s.stem ORDER BY g.k) AS r FROM (SELECT DISTINCT stem FROM files) s, (SELECT unnest(range(1, 1001)) AS k) g WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.stem = s.stem AND e.k = g.k))
+SELECT o_orderkey, CASE WHEN ranked.r = 0 THEN ranked.stem || '.pdf' ELSE ranked.stem || '_' || free.k || '.pdf' END AS destination, CASE WHEN ranked.r > 0 AND free.k IS NULL THEN 'error' ELSE 'moved' END AS status
+FROM ranked LEFT JOIN free ON ranked.stem = free.stem AND ranked.r = free.r""")
+def route_clashes(spark, d):
+    """Many files of one name, to where some of these names and of the numbered ones are taken."""
+    files = _t(spark, d, "orders").select("o_orderkey", F.concat((F.col("o_custkey") % 300).cast("string"), F.lit(".pdf")).alias("name"), F.col("o_orderdate").alias("modificationTime"))
+    k = F.col("c_custkey")
+    existing = _t(spark, d, "customer").select(F.concat(F.lit("docs/"), (k % 290).cast("string"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("_"), (k % 7 + 1).cast("string"))), F.lit(".pdf")).alias("path"))
+    routes = routing.Routes((routing.Route("pdf", ("*.pdf",), ""),), "docs", on_conflict="rename")
+    return routing.plan(files, routes, existing, "o_orderkey").select("o_orderkey", "destination", "status")
+
+
 @query("""SELECT o_orderkey, substr(sha256('{"o_custkey":"' || o_custkey || '","o_orderkey":"' || o_orderkey || '","o_orderpriority":"' || o_orderpriority || '"}'), 1, 32) AS key FROM orders""")
 def idempotency_keys(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", web.idempotency_key(["o_orderkey", "o_custkey", "o_orderpriority"]).alias("key"))
@@ -527,7 +542,12 @@ def conversation_roles(spark, d):
     return _t(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, ts, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT key, event_id, ts, n, true AS allowed, [sec] AS hits FROM e WHERE n = 1
+UNION ALL SELECT e.key, e.event_id, e.ts, e.n, len(list_filter(r.hits, lambda h: e.sec - h <= 3600)) < 2,
+CASE WHEN len(list_filter(r.hits, lambda h: e.sec - h <= 3600)) < 2 THEN list_append(list_filter(r.hits, lambda h: e.sec - h <= 3600), e.sec) ELSE list_filter(r.hits, lambda h: e.sec - h <= 3600) END
+FROM r JOIN e ON r.key = e.key AND e.n = r.n + 1)
+SELECT key, event_id, ts, allowed FROM r""")
 def rate_limit_60s(spark, d):
     hits = _t(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", "ts")
     return streams.rate_limited_batch(hits, 2, 3600.0)
@@ -539,6 +559,18 @@ def hits_in_window(spark, d):
     return streams.hits_in_window(hits, 3600).select("event_id", "hits")
 
 
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || chr(10) || '"' || c_mktsegment || '", ' || c_nationkey AS note, CASE WHEN c_nationkey % 3 > 0 THEN CAST(c_nationkey AS VARCHAR) END AS nation FROM customer""")
+def delimited_customers(spark, d):
+    """Customers from delimited files that Spark has written, each with its header, with quotes and line ends in cells."""
+    from ..sources.files import shared_dir
+    from ..sources.tabular import read_delimited
+
+    c, path = _t(spark, d, "customer"), shared_dir(spark, "customers")
+    note = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", '), F.col("c_nationkey").cast("string"))
+    c.select("c_custkey", note.alias("note"), F.when(F.col("c_nationkey") % 3 > 0, F.col("c_nationkey")).alias("nation")).repartition(3).write.csv(path, header=True, escape='"')
+    return read_delimited(spark, path).select("c_custkey", "note", "nation")
+
+
 @query("SELECT count(*) AS files, sum(strlen(html))::BIGINT AS bytes FROM pages")
 def directory_fingerprint(spark, d):
     from ..sources.files import fingerprint

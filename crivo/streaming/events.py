@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.audit import numbered
+from ..sources.files import stored
+
 DECISIONS = "key long, event_id long, ts timestamp, allowed boolean"
 
 
@@ -35,28 +38,77 @@ def rate_limited(events: DataFrame, limit: int, window: float = 60.0) -> DataFra
     return events.groupBy("key").applyInPandasWithState(run, DECISIONS, "hits array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def rate_limited_batch(events: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
-    """The same over a finished table. A limiter looks back one window only, so a gap longer than that cuts a key's
-    events into runs that are decided apart: a busy key is many groups, not one. Only the gaps are searched for in a
-    sort of all rows of a key in one task."""
-    order = W.partitionBy("key").orderBy("ts", "event_id")
+#: Events of a key that one task decides on, and most rounds of handing states on.
+RANGE_ROWS, ROUNDS = 200_000, 10_000
+
+
+def rate_limited_batch(events: DataFrame, limit: int, window: float = 60.0, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The same over a finished table.
+
+    The limiter is a state machine whose state is a key's allowed hits within one window, ``limit`` at
+    most. A key's events are numbered in ranges of time and cut into ranges of ``range_rows``; a range
+    is decided by one task, in order, from the state at its start. All ranges begin with no hits; then
+    those are decided again whose start isn't the state that the range before has ended in, until all
+    agree. Decisions from different starts soon fall together, so few rounds are needed, and a key of
+    any size is many tasks. Events at one time are in order of event_id; ones without a time or key are
+    a range of their own key (null), and null times come first and are not limited.
+    """
     at = F.col("ts").cast("timestamp").cast("double")
-    gap = F.coalesce(at - F.lag(at).over(order) > window, F.lit(True))
-    runs = events.withColumn("run", F.sum(gap.cast("long")).over(order))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, hits = None, []
-        for rows in batches:
-            out = []
-            for key, number, ts in zip(rows["key"], rows["run"], rows["ts"], strict=True):
-                if (key, number) != last:
-                    last, hits = (key, number), []
-                ok, hits = decide(hits, ts.timestamp(), limit, window)
-                out.append(ok)
-            yield rows.assign(allowed=out)[["key", "event_id", "ts", "allowed"]]
-
-    # rows stream through a task in order, so a run of any length takes the memory of one batch
-    return runs.repartition("key", "run").sortWithinPartitions("key", "run", "ts", "event_id").mapInPandas(run, DECISIONS)
+    rows = stored(events.select("key", "event_id", "ts", F.coalesce(at, F.lit(float("-inf"))).alias("at")), "limited")
+    bounds = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > range_rows)
+    # only keys of more than one range are cut
+    cut = numbered(rows.join(bounds.select("key"), "key", "left_semi"), "key", "at", "_k").select("key", "event_id", "ts", "at", F.floor((F.col("_k") - 1) / range_rows).alias("part"))
+    # equal times stay together, or their order would depend on how they are cut
+    first = cut.groupBy("key", "at").agg(F.min("part").alias("part"))
+    cut = cut.drop("part").join(first, ["key", "at"])
+    whole = rows.join(bounds.select("key"), "key", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    ranges = stored(whole.unionByName(cut), "ranges")
+    spark = events.sparkSession
+
+    def passed(starts: DataFrame | None, ends: bool) -> DataFrame:
+        """The decisions of ranges from their starts (key, part, hits), or the states that they end in."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last, hits, made = None, [], []
+            for batch in batches:
+                out = []
+                for key, part, now, start in zip(batch["key"], batch["part"], batch["at"], batch["hits"], strict=True):
+                    key = None if pd.isna(key) else key
+                    if (key, part) != last:
+                        if ends and last is not None:
+                            made.append((*last, hits))
+                        last, hits = (key, part), [] if start is None else list(start)
+                    ok, hits = (True, hits) if now == float("-inf") else decide(hits, now, limit, window)
+                    out.append(ok)
+                if not ends:
+                    yield batch.assign(allowed=out)[["key", "event_id", "ts", "allowed"]]
+            if ends and last is not None:
+                made.append((*last, hits))
+            if ends:
+                yield pd.DataFrame(made, columns=["key", "part", "hits"])
+
+        of = ranges.withColumn("hits", F.lit(None).cast("array<double>")) if starts is None else ranges.join(starts.withColumnRenamed("part", "_part").withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key")) & (F.col("part") == F.col("_part")), "inner" if ends else "left").drop("_key", "_part")
+        # rows stream through a task in order, so a range takes the memory of one batch
+        sorted_ = of.repartition("key", "part").sortWithinPartitions("key", "part", "at", "event_id")
+        return sorted_.mapInPandas(run, f"key {dict(ranges.dtypes)['key']}, part long, hits array<double>" if ends else DECISIONS)
+
+    several = ranges.groupBy("key").agg(F.max("part").alias("last")).filter("last > 0")
+    if several.isEmpty():
+        return passed(None, False)
+    parts = stored(ranges.join(several.select("key"), "key", "left_semi").select("key", "part").distinct(), "parts")
+    starts = stored(parts.withColumn("hits", F.array().cast("array<double>")), "starts")
+    changed, states = starts, spark.createDataFrame([], starts.schema)
+    for _ in range(ROUNDS):
+        new = stored(passed(changed, True), "ends")
+        states = stored(states.join(new, ["key", "part"], "left_anti").unionByName(new), "ends")
+        # ranges of a key are numbered without gaps but for those whose events all have a time of the range before
+        order = W.partitionBy("key").orderBy("part")  # a row per range
+        told = states.withColumn("next", F.lead("part").over(order)).filter("next is not null").select("key", F.col("next").alias("part"), F.col("hits").alias("handed"))
+        changed = stored(starts.join(told, ["key", "part"]).filter(F.col("hits") != F.col("handed")).select("key", "part", F.col("handed").alias("hits")), "starts")
+        if changed.isEmpty():
+            return passed(starts, False)
+        starts = stored(starts.join(changed.select("key", "part"), ["key", "part"], "left_anti").unionByName(changed), "starts")
+    raise RuntimeError("the states did not settle")
 
 
 def hits_in_window(events: DataFrame, window: int = 60) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators on small sheets, logs and deliveries."""
 
 import datetime
+import os
+import random
 import zipfile
 
 import pytest
@@ -240,6 +242,79 @@ def test_routing(spark):
     assert {r["status"]: r["n"] for r in routing.counters(routing.plan(files, routes)).collect()} == {"moved": 3, "unmatched": 2}
 
 
+def plain_plan(names, existing, policy):
+    """Destinations as the rule has them: the first of equal names keeps a free one, the others take free numbers."""
+    there, wanted, out, given = set(existing), set(existing) | set(names), [], set()
+    for n in names:
+        if policy == "overwrite" or n not in there and n not in given:
+            out.append((n, "moved"))
+        elif policy == "skip":
+            out.append((n, "skipped"))
+        else:
+            stem, dot, ext = n.rpartition(".")
+            stem, ext = (stem, dot + ext) if stem else (n, "")
+            new = next((c for c in (f"{stem}_{k}{ext}" for k in range(1, 1001)) if c not in wanted and c not in given), None)
+            out.append((new, "moved") if new else (None, "error"))
+        given.add(out[-1][0])
+    return out
+
+
+@pytest.mark.parametrize("policy", ["skip", "rename", "overwrite"])
+def test_routing_with_clashes(spark, policy):
+    rng = random.Random(9)
+    names = ["a.pdf", "a.pdf", *(rng.choice(["a.pdf", "a_1.pdf", "a_2.pdf", "a_1_1.pdf", "b.pdf", "c", "c_1", "d.tar.gz", "x_01.pdf", "x.pdf"]) for _ in range(60)), *["viel.pdf"] * 1005]
+    existing = ["a.pdf", "a_1.pdf", "a_7.pdf", "c", "x_3.pdf", "viel_5.pdf", "viel_1001.pdf"]
+    files = spark.createDataFrame([(k, n, datetime.datetime(2026, 3, 4)) for k, n in enumerate(names)], "k long, name string, modificationTime timestamp")
+    routes = routing.Routes((routing.Route("all", ("*",), ""),), on_conflict=policy)
+    planned = routing.plan(files, routes, spark.createDataFrame([(e,) for e in existing * 2], "path string"), "k")
+    got = [(r["destination"], r["status"]) for r in planned.orderBy("k").collect()]
+    want = plain_plan(names, existing, policy)
+    assert got == [(d if s != "error" else None, s) for d, s in want]
+    if policy == "rename":
+        assert got[:2] == [("a_3.pdf", "moved"), ("a_4.pdf", "moved")] and got[-1] == (None, "error")
+        moved = [d for d, s in got if s == "moved"]
+        assert len(moved) == len(set(moved)) and not set(moved) & set(existing)
+
+
+def test_two_files_of_a_taken_name(spark):
+    files = spark.createDataFrame([(f"/f{k}", "a.pdf", datetime.datetime(2026, 3, 4)) for k in (1, 2)], "path string, name string, modificationTime timestamp")
+    routes = routing.Routes((routing.Route("docs", ("*.pdf",), "docs"),), "/t", on_conflict="rename")
+    got = routing.plan(files, routes, spark.createDataFrame([("/t/docs/a.pdf",), ("/t/docs/a_1.pdf",)], "path string"))
+    assert {r["destination"] for r in got.collect()} == {"/t/docs/a_2.pdf", "/t/docs/a_3.pdf"}
+
+
+def killed_once(folder):
+    def act(source, destination, action):
+        routing.local_file(source, destination, action)
+        if source.endswith("7.txt") and not os.path.exists(f"{folder}/killed"):
+            open(f"{folder}/killed", "w").close()
+            raise RuntimeError("the executor is gone")
+
+    return act
+
+
+@pytest.mark.parametrize("action", ["move", "copy"])
+def test_a_kept_plan_is_done_once(spark, tmp_path, action):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    for k in range(12):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"neu {k}")
+    (tmp_path / "out" / "3.txt").write_text("alt")
+    at = datetime.datetime(2026, 3, 4)
+    files = spark.createDataFrame([(f"{tmp_path}/in/{k}.txt", f"{k}.txt", at) for k in range(12)] + [(f"{tmp_path}/in/fehlt.txt", "fehlt.txt", at)], "path string, name string, modificationTime timestamp")
+    routes = routing.Routes((routing.Route("all", ("*.txt",), ""),), f"{tmp_path}/out", action, "rename")
+    planned = routing.plan(files, routes, spark.createDataFrame([(f"{tmp_path}/out/3.txt",)], "path string"))
+    journal = f"{tmp_path}/journal"
+    routing.keep_plan(planned, journal, action)
+    with pytest.raises(Exception, match="the executor is gone"):
+        routing.execute(spark, journal, killed_once(tmp_path))
+    for _ in range(2):
+        told = {r["source"]: (r["status"], r["error"]) for r in routing.execute(spark, journal).collect()}
+        assert [s for s, (status, _) in told.items() if status == "error"] == [f"{tmp_path}/in/fehlt.txt"] and len(told) == 13
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"3.txt": "alt", "3_1.txt": "neu 3"} | {f"{k}.txt": f"neu {k}" for k in range(12) if k != 3}
+    assert len(list((tmp_path / "in").iterdir())) == (0 if action == "move" else 12)
+
+
 class Fails(Pipeline):
     name = "falha"
 
