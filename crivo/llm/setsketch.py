@@ -6,13 +6,15 @@ floor(1 - log_b h) of the least value h, truncated to a byte. Registers of a uni
 ones of its parts, and two registers are equal the likelier the more alike the sets are.
 
 Sets that are equal collapse to one row. Bands of ``BAND`` registers are bucket keys, and links are
-looked for in two rounds. First every bucket links its members to its first one. From how many
-registers of two sets are larger, smaller or equal, and the sets' sizes, their similarity is
-estimated by maximum likelihood; a link goes on unless the data speak against the threshold by more
-than ``DOUBT``, and is then verified on the full sets. Then buckets that still hold several
-components compare what is in different ones, in blocks of ``GROUP_ROWS``, by the same estimate and
-verification. Pairs that are already joined are not looked at again, so a group of near copies gives
-a few links for each member and not all its pairs.
+looked for in three rounds. First every bucket of ``FIRST_BANDS`` bands links its members to its first
+one. From how many registers of two sets are larger, smaller or equal, and the sets' sizes, their
+similarity is estimated by maximum likelihood; a link goes on unless the data speak against the
+threshold by more than ``DOUBT``, and is then verified on the full sets. Then every bucket of all bands
+links the components that it holds, by a member of each. Then buckets that still hold several
+components compare what is in different ones, in blocks of ``GROUP_ROWS``, by the same estimate;
+members that it can't refuse come together once more with their full sets, and only links that join
+two components go out. So a group of near copies, or of almost near ones, gives a few rows for each
+member and not all its pairs.
 
 A pair at the threshold has 0.27 as the chance of an equal band (0.8 is that of a register, and a
 little more as levels are rounded), so all 42 bands miss it with a chance of 2e-6, less where it is
@@ -21,7 +23,7 @@ more alike; ``DOUBT`` misses it with one of about 1e-6. Shingles are compared as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,11 +39,15 @@ from .simhash import components
 SHINGLE, PERCENT, SEED = 5, 80, 42
 BAND, BANDS = 6, 42
 REGISTERS = BAND * BANDS
+#: Bands whose buckets are linked first, which joins most of what is much alike.
+FIRST_BANDS = 6
 BASE, RATE, TOP = 1.1, 20.0, 255
 #: A log-likelihood ratio against the threshold by which an estimate refuses a pair.
 DOUBT = 12.5
 #: Members of a bucket from which it is compared block by block.
 GROUP_ROWS = 2_000
+#: Shingles of a bucket's members from which it is compared block by block.
+GROUP_ELEMENTS = 2_000_000
 #: Rows of ids that are broadcast, of at most 8 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Elements of a set that are hashed at a time.
@@ -162,17 +168,17 @@ def sketched(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return append_columns(docs, text, fields, make)
 
 
-def banded(sets: DataFrame, *more: str) -> DataFrame:
-    """Rows (key, node, ...) of rows (node, registers, ...): the band's number over its registers, which the key holds as they are."""
+def banded(sets: DataFrame, *more: str, bands: int = BANDS) -> DataFrame:
+    """Rows (key, node, ...) of rows (node, registers, ...) in the first ``bands``: the band's number over its registers, which the key holds as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.uint64(1) << np.arange(0, 8 * BAND, 8, dtype=np.uint64)
         for batch in batches:
             for a in range(0, batch.num_rows, 2_000):
                 part = batch.slice(a, 2_000)
-                rows = _registers(part.column(0)).reshape(-1, BANDS, BAND).astype(np.uint64)
-                keys = (rows * place).sum(2, dtype=np.uint64) | np.arange(BANDS, dtype=np.uint64)[None, :] << np.uint64(8 * BAND)
-                at = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
+                rows = _registers(part.column(0)).reshape(-1, BANDS, BAND)[:, :bands].astype(np.uint64)
+                keys = (rows * place).sum(2, dtype=np.uint64) | np.arange(bands, dtype=np.uint64)[None, :] << np.uint64(8 * BAND)
+                at = pa.array(np.repeat(np.arange(part.num_rows), bands))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(at) for c in part.columns[1:])], names=["key", "node", *more])
 
     return sets.select("registers", "node", *more).mapInArrow(run, f"key long, node long{''.join(f', {c} long' for c in more)}")
@@ -192,16 +198,26 @@ def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
-def star_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of every bucket's first member and each of its others of fitting size."""
-    keyed = banded(sets, "n_shingles")
-    first = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.min_by("n_shingles", "node").alias("m")).filter("a < last").select("key", "a", "m")
+def star_pairs(sets: DataFrame, percent: int, label: DataFrame | None = None, bands: int = BANDS) -> DataFrame:
+    """Pairs (a, b), a < b, of every bucket's first member and the first one of each of its other components of fitting size.
+
+    Components are those of ``label`` (node, root); without it every set is one.
+    """
+    if label is None:
+        heads = banded(sets, "n_shingles", bands=bands)
+    else:
+        heads = banded(sets.join(label, "node", "left").withColumn("root", F.coalesce("root", "node")), "n_shingles", "root", bands=bands)
+        heads = heads.groupBy("key", "root").agg(F.min_by("n_shingles", "node").alias("n_shingles"), F.min("node").alias("node"))
+    first = heads.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.min_by("n_shingles", "node").alias("m")).filter("a < last").select("key", "a", "m")
     fits = 100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m")
-    return keyed.join(first, "key").filter((F.col("node") > F.col("a")) & fits).select("a", F.col("node").alias("b")).distinct()
+    return heads.join(first, "key").filter((F.col("node") > F.col("a")) & fits).select("a", F.col("node").alias("b")).distinct()
+
 
+def pairs_across(band: int, side: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, registers: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Node pairs of a group of ``band`` that may be alike, are in different components, and differ in all earlier bands.
 
-def pairs_across(key: np.ndarray, side: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, registers: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Node pairs of one group that may be alike and are in different components; ``side`` 1 and 2 are the blocks that meet, 0 is one block with itself."""
+    ``side`` 1 and 2 are the blocks that meet, 0 is one block with itself.
+    """
     values, counts = np.unique(label, return_counts=True)
     common = values[counts.argmax()]
     rows = np.flatnonzero(label != common)  # of two in different components one is not in the commonest
@@ -211,29 +227,17 @@ def pairs_across(key: np.ndarray, side: np.ndarray, node: np.ndarray, label: np.
         apart = (label[mine, None] != label[None, :]) & ((side[mine, None] == 0) | (side[mine, None] != side[None, :]))
         apart &= 100 * np.minimum(n[mine, None], n[None, :]) >= percent * np.maximum(n[mine, None], n[None, :])
         i, j = np.nonzero(apart)
-        fit = may_be_alike(registers[mine[i]], registers[j], n[mine[i]], n[j], percent)
-        yield node[mine[i[fit]]], node[j[fit]]
+        i = mine[i]
+        earlier = (registers[i, : band * BAND] == registers[j, : band * BAND]).reshape(len(i), band, BAND).all(2).any(1)
+        i, j = i[~earlier], j[~earlier]
+        fit = may_be_alike(registers[i], registers[j], n[i], n[j], percent)
+        yield node[i[fit]], node[j[fit]]
 
 
-def pairs_between(sets: DataFrame, label: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Pairs (a, b), a < b, that share a bucket, are in different components of ``label`` (node, root), and may be alike."""
-    of = sets.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keyed = banded(of, "root")
-    # of two members the one has been compared with the other
-    open_ = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high and many > 2").select("key", "many")
-    members = keyed.join(open_, "key").join(of.select("node", "n_shingles", "registers"), "node")
-    blocks = F.ceil(F.col("many") / limit)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    # a block meets itself and every other: (lower block, higher block, which of both this is)
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")))
-    dealt = members.select("key", "node", "root", "n_shingles", "registers", F.explode(meet).alias("at")).select("key", "at.i", "at.j", "at.side", "node", "root", "n_shingles", "registers")
+def _each_group(fn: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What maps batches, ordered by their first three columns, by calling ``fn`` with each group of rows equal in those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            of_group, side, node, root, n = (rows.column(c).to_numpy() for c in ("key", "side", "node", "root", "n_shingles"))
-            for a, b in pairs_across(of_group, side, node, root, n, np.concatenate([_registers(c) for c in rows.column("registers").chunks]), percent):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
         held: list[pa.RecordBatch] = []
         last: tuple | None = None
         for batch in batches:
@@ -244,25 +248,98 @@ def pairs_between(sets: DataFrame, label: DataFrame, percent: int, limit: int) -
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 this = tuple(int(g[a]) for g in group)
                 if held and this != last:
-                    yield from done(pa.Table.from_batches(held))
+                    yield from fn(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(a, b - a))
                 last = this
         if held:
-            yield from done(pa.Table.from_batches(held))
+            yield from fn(pa.Table.from_batches(held))
 
-    groups = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return groups.mapInArrow(run, "a long, b long").distinct()
+    return run
 
 
-def verified(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets, from the texts of ``rows`` (node, text), reach the threshold."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = stored(need, "nodes")
+def _across(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``pairs_across`` of a group's rows (key, i, j, side, node, root, n_shingles, registers, ...), as places of rows."""
+    key, side, root, n = (rows.column(c).to_numpy() for c in ("key", "side", "root", "n_shingles"))
+    registers = np.concatenate([_registers(c) for c in rows.column("registers").chunks])
+    return pairs_across(int(key[0]) >> 8 * BAND, side, np.arange(len(key)), root, n, registers, percent)
+
+
+def joining_links(pairs: Iterator[tuple[np.ndarray, np.ndarray]], root: np.ndarray, flat: np.ndarray, offsets: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """The pairs of places whose full sets reach the threshold, without those whose components are joined by then."""
+    universe, at = np.unique(flat, return_inverse=True)
+    there, n, parent = np.zeros(len(universe), bool), np.diff(offsets), {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for left, right in pairs:
+        for i in np.unique(left).tolist():
+            mine = [j for j in right[left == i].tolist() if find(int(root[i])) != find(int(root[j]))]
+            if not mine:
+                continue
+            there[at[offsets[i] : offsets[i + 1]]] = True
+            for j in mine:
+                shared = int(there[at[offsets[j] : offsets[j + 1]]].sum())
+                p, q = find(int(root[i])), find(int(root[j]))
+                if p != q and 100 * shared >= percent * (n[i] + n[j] - shared):
+                    parent[max(p, q)] = min(p, q)
+                    yield i, j
+            there[at[offsets[i] : offsets[i + 1]]] = False
+
+
+def links_between(sets: DataFrame, label: DataFrame, rows: DataFrame, shingle: int, percent: int, limit: int) -> DataFrame:
+    """Links (a, b), a < b, between sets that share a bucket and are in different components of ``label`` (node, root): enough to join these."""
+    of = sets.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = banded(of, "root", "n_shingles")
+    # of two members the one has been compared with the other
+    open_ = keyed.groupBy("key").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high and many > 2")
+    members = keyed.join(open_.select("key", F.ceil(F.greatest(F.col("many") / limit, F.col("size") / GROUP_ELEMENTS)).alias("blocks")), "key").join(of.select("node", "registers"), "node")
+    own = F.pmod(F.xxhash64("node"), "blocks")
+    # a block meets itself and every other: (lower block, higher block, which of both this is)
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")))
+    columns = ["key", "i", "j", "side", "node", "root", "n_shingles", "registers"]
+    dealt = members.withColumn("at", F.explode(meet)).select("key", "at.i", "at.j", "at.side", *columns[4:])
+
+    def active(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(rows.num_rows, bool)
+        for a, b in _across(rows, percent):
+            met[a] = met[b] = True
+        if met.any():
+            yield from rows.filter(pa.array(met)).to_batches()
+
+    def link(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
+        elements = rows.column("elements").combine_chunks()
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(elements.value_lengths()).astype(np.int64))])
+        found = list(joining_links(_across(rows, percent), root, np.asarray(elements.flatten()), offsets, percent))
+        if found:
+            a, b = node[np.array(found)].T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    met = stored(grouped(dealt).mapInArrow(_each_group(active), dealt.schema), "members")
+    full = full_sets(met.select("node"), rows, shingle)
+    return grouped(met.join(full, "node").select(*columns, "elements")).mapInArrow(_each_group(link), "a long, b long").distinct()
+
+
+def full_sets(nodes: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """Rows (node, elements) of ``nodes``, from the texts of ``rows`` (node, text)."""
+    need = stored(nodes.distinct(), "nodes")
     need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
     make = lambda texts: [pa.array([s.view(np.int64) for s in shingle_sets(texts, shingle)], pa.list_(pa.int64()))]
     full = append_columns(rows.join(need, "node", "left_semi"), "text", [T.StructField("elements", T.ArrayType(T.LongType()))], make)
-    full = stored(full.select("node", "elements"), "sets")
+    return stored(full.select("node", "elements"), "sets")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets, from the texts of ``rows`` (node, text), reach the threshold."""
+    full = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), rows, shingle)
     side = lambda x: full.select(F.col("node").alias(x), F.col("elements").alias(f"e_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("e_a", "e_b")))
     return both.filter(100 * F.col("shared") >= percent * (F.size("e_a") + F.size("e_b") - F.col("shared"))).select("a", "b")
@@ -273,11 +350,13 @@ def grouped(marked: DataFrame, shingle: int, percent: int, limit: int = GROUP_RO
     sets = marked.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
     sets = stored(sets, "sketches")
     texts = marked.select(F.col("row").alias("node"), "text")
-    near = stored(_estimated(star_pairs(sets, percent), sets, percent), "pairs")
-    links = stored(verified(near, texts, shingle, percent), "links")
-    label = components(links)
-    more = stored(pairs_between(sets, label, percent, limit).join(near, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(verified(more, texts, shingle, percent))
+    links = label = None
+    for bands in (FIRST_BANDS, BANDS):
+        near = stored(_estimated(star_pairs(sets, percent, label, bands), sets, percent), "pairs")
+        new = stored(verified(near, texts, shingle, percent), "links")
+        links = new if links is None else links.union(new)
+        label = components(links)
+    links = links.union(links_between(sets, label, texts, shingle, percent, limit))
     of = sets.join(components(links), "node", "left").select("d1", "d2", "n_shingles", "doc_id", F.coalesce("root", "node").alias("root"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return of.join(least, "root").select("d1", "d2", "n_shingles", "component_id")

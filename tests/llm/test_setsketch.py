@@ -116,11 +116,32 @@ def test_large_group_gives_few_links(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     marked = ss.stored(ss.sketched(docs.selectExpr("doc_id as row", "doc_id", "text"), "text", 2), "sketched")
     sets = marked.selectExpr("row as node", "n_shingles", "registers")
-    pairs = ss.star_pairs(sets, 80)
-    assert pairs.count() < 300 * 20
+    assert ss.star_pairs(sets, 80, bands=ss.FIRST_BANDS).count() <= 300 * ss.FIRST_BANDS
+    one = sets.selectExpr("node", "0L as root")
+    assert ss.star_pairs(sets, 80, one).count() == 0
+    assert ss.links_between(sets, one, marked.selectExpr("row as node", "text"), 2, 80, 50).count() == 0
     assert {r["component_id"] for r in ss.grouped(marked, 2, 80).collect()} == {0}
 
 
+def test_links_that_join():
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.choice(60, 40, replace=False)) for _ in range(40)]
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    root = np.arange(40) // 2
+    pairs = [(np.array([i]), np.array([j])) for i in range(40) for j in range(i) if root[i] != root[j]]
+    alike = {(i, j) for i in range(40) for j in range(i) if root[i] != root[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))}
+    found = list(ss.joining_links(iter(pairs), root, np.concatenate(sets), offsets, 50))
+    assert set(found) <= alike
+
+    def joined(links):
+        at = root.copy()
+        for i, j in links:
+            at[at == max(at[i], at[j])] = min(at[i], at[j])
+        return at.tolist()
+
+    assert joined(found) == joined(alike) and len(found) == len(set(root.tolist())) - len(set(joined(alike)))
+
+
 def test_awkward_rows(awkward, nothing):
     rows = ss.near_duplicates(awkward, 2).collect()
     assert len(rows) == len(AWKWARD)
