@@ -40,10 +40,10 @@ def external_id(body: Column) -> Column:
 
 
 def error_text(body: Column) -> Column:
-    """``error`` and its ``detalhes``, else the first 120 characters."""
-    details = F.array_join(F.from_json(F.get_json_object(body, "$.detalhes"), T.ArrayType(T.StringType())), "; ")
-    error = F.get_json_object(body, "$.error")
-    return F.when(error.isNotNull(), F.concat_ws(": ", error, F.when(details != "", details))).otherwise(F.substring(body, 1, 120))
+    """``error`` and its ``detalhes`` of a JSON object, or what there is of both, else the first 120 characters."""
+    details = F.array_join(F.from_json(F.get_json_object(body, "$.detalhes"), T.ArrayType(T.StringType())), ", ")
+    told = F.concat_ws(": ", *(F.nullif(x, F.lit("")) for x in (strip(F.get_json_object(body, "$.error")), details)))
+    return F.when(strip(body).startswith("{") & (told != ""), told).otherwise(F.substring(body, 1, 120))
 
 
 def canonical_json(columns: Sequence[str]) -> Column:

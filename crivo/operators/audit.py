@@ -6,11 +6,16 @@ top-k. Nothing sorts the whole log.
 
 from __future__ import annotations
 
+import os
 from datetime import UTC, datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.web import hmac_sha256
 
 #: Parts of a log in which rows are numbered apart.
 RANGES = 100
@@ -18,13 +23,56 @@ FAILURES = ("failure", "partial")
 SCHEMA = "id long, timestamp timestamp, task_name string, user string, status string, environment string, input_hash string, args string, duration_ms long, rows_affected long, rows_failed long, error_message string"
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Adds entries; a log is only ever appended to. Entries without an id get one in order of time within this call's range."""
-    df.write.mode("append").parquet(path)
+#: Of an id's 63 bits those of a row's place within its append, and of these those within a part.
+ROW_BITS, PART_BITS = 40, 24
+
+
+def reserved(spark: SparkSession, path: str) -> int:
+    """The number of this append among all to the log: the first free one, taken by making its file, which one caller can only."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(f"{path.rstrip('/')}/_appends")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    n = 1 + max((int(s.getPath().getName()) for s in fs.listStatus(at) if s.getPath().getName().isdigit()), default=0)
+    while True:
+        name = f"{n:012d}"
+        try:
+            if fs.getUri().getScheme() == "file":  # whose Hadoop client looks first and creates then
+                os.close(os.open(os.path.join(at.toUri().getPath(), name), os.O_CREAT | os.O_EXCL))
+            else:
+                fs.create(jvm.Path(at, name), False).close()
+            return n
+        except (FileExistsError, Py4JJavaError):  # another caller was faster
+            if not fs.exists(jvm.Path(at, name)):
+                raise
+        n += 1
+
+
+def append(df: DataFrame, path: str, inputs: str | None = None, secret: str = "") -> None:
+    """Adds entries; a log is only ever appended to, each time by a folder of its own, so that appends don't meet.
+
+    Entries without an id get one: the append's number, which no other append has, and below it their
+    place in order of time. With ``inputs``, a column that is not stored, input_hash is the HMAC of each
+    entry's input by ``secret`` (without one its SHA-256), empty where there is no input.
+    """
+    spark = df.sparkSession
+    if inputs:
+        digest = hmac_sha256(F.col(f"`{inputs}`").cast("string"), secret)
+        df = df.withColumn("input_hash", F.when(F.coalesce(F.col(f"`{inputs}`").cast("string"), F.lit("")) == "", "").otherwise(digest))
+    if "id" not in df.columns:
+        df = df.withColumn("id", F.lit(None).cast("long"))
+    given, number = df.filter("id is not null"), reserved(spark, path)
+    order = F.monotonically_increasing_id()
+    row, part = order.bitwiseAND((1 << 33) - 1), F.shiftright(order, 33)
+    fits = (row < 1 << PART_BITS) & (part < 1 << (ROW_BITS - PART_BITS))
+    place = F.when(fits, F.shiftleft(part, PART_BITS) + row).otherwise(F.raise_error(F.lit("too many entries for one append")).cast("long"))
+    new = df.filter("id is null").repartitionByRange("timestamp").sortWithinPartitions("timestamp").withColumn("id", F.lit(number << ROW_BITS) + place)
+    columns = [c for c in T._parse_datatype_string(SCHEMA).fieldNames() if c in df.columns]
+    given.select(columns).unionByName(new.select(columns)).write.parquet(f"{path.rstrip('/')}/append-{number:012d}")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path)
+    return spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
 def typed(df: DataFrame) -> DataFrame:

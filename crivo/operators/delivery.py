@@ -92,14 +92,17 @@ def send(df: DataFrame, transport: Transport, outcomes: str, retry: Retry | None
 
 
 def with_outcome(answered: DataFrame) -> DataFrame:
-    """What status_http and _body mean."""
+    """What status_http and _body mean; a body that says ``"ok": false`` is a failure whatever the status."""
     status, body = F.col("status_http"), F.col("_body")
+    refused = F.when(strip(body).startswith("{"), F.get_json_object(body, "$.ok") == "false")
+    good = status.between(200, 299) & ~F.coalesce(refused, F.lit(False))
+    told = F.coalesce(strip(F.get_json_object(body, "$.description")), F.lit("resposta ok=false"))
     return answered.withColumns(
         {
-            "categoria": F.when(status.isNull(), "temporario").otherwise(status_category(status)),
-            "sucesso": F.coalesce(status.between(200, 299), F.lit(False)),
-            "mensagem": F.when(status.between(200, 299), "").otherwise(F.substring(body, 1, 120)),
-            "id_externo": F.when(status.between(200, 299), external_id(body)),
+            "categoria": F.when(status.isNull(), "temporario").when(status.between(200, 299) & ~good, "outro").otherwise(status_category(status)),
+            "sucesso": F.coalesce(good, F.lit(False)),
+            "mensagem": F.when(good, "").when(status.between(200, 299), F.substring(told, 1, 120)).otherwise(F.substring(body, 1, 120)),
+            "id_externo": F.when(good, external_id(body)),
             "pode_reenviar": status.isNull() | may_resend(status),
         }
     )

@@ -133,23 +133,41 @@ def cell_issues(schema: Schema, columns: Sequence[str]) -> Column:
     return F.array_compact(F.array(*out)) if out else F.array().cast(T.ArrayType(ISSUE))
 
 
-def duplicate_values(df: DataFrame, name: str, key: Callable[[Column], Column] = text_key) -> DataFrame:
-    """Rows (key, n, first, lines) of keys that occur twice or more; blank keys don't count."""
-    k = key(cell_text(F.col(f"`{name}`")))
-    found = df.select(k.alias("key"), "line").filter(F.col("key") != "").groupBy("key")
-    return found.agg(F.count("*").alias("n"), F.min("line").alias("first"), F.array_sort(F.collect_list("line")).alias("lines")).filter("n > 1")
+#: Lines of a group of equal keys that are named.
+LINES = 20
+
+
+def duplicate_values(df: DataFrame, name: str, key: Callable[[Column], Column] = text_key, lines: int = LINES) -> DataFrame:
+    """Rows (key, n, first, lines) of keys that occur twice or more; blank keys don't count. ``lines`` are the first of a group, as many as asked for (0: no such column)."""
+    rows = _keyed(df, name, key)
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("line").alias("first")).filter("n > 1")
+    return groups.join(_first_lines(rows.join(groups.select("key"), "key"), lines), "key") if lines else groups
+
+
+def duplicate_members(df: DataFrame, name: str, key: Callable[[Column], Column] = text_key) -> DataFrame:
+    """Rows (key, line, n): every member of the groups of ``duplicate_values``."""
+    rows = _keyed(df, name, key)
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key").select("key", "line", "n")
+
+
+def _keyed(df: DataFrame, name: str, key: Callable[[Column], Column]) -> DataFrame:
+    return df.select(key(cell_text(F.col(f"`{name}`"))).alias("key"), "line").filter(F.col("key") != "")
+
+
+def _first_lines(rows: DataFrame, lines: int) -> DataFrame:
+    """Rows (key, lines): the first lines of each key by rank, of which Spark keeps so many per key before the shuffle."""
+    rank = F.row_number().over(W.partitionBy("key").orderBy("line"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= lines).groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
 def duplicate_value_issues(df: DataFrame, spec: ColumnRules, seq: int = 10_000) -> DataFrame:
     """An error for every member of a group of equal keys. The message names up to 20 of the group's lines, so a hot key stays small."""
     key = digits if spec.validator_br else text_key
-    rows = df.select(key(cell_text(F.col(f"`{spec.name}`"))).alias("key"), "line").filter(F.col("key") != "")
+    rows = _keyed(df, spec.name, key)
     groups = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = rows.join(groups, "key")
-    # the first lines of a group by rank within it, of which Spark keeps 20 per key before the shuffle
-    rank = F.row_number().over(W.partitionBy("key").orderBy("line"))
-    some = members.withColumn("rank", rank).filter("rank <= 20").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x.cast("string")), ", ").alias("where"))
-    message = F.concat(F.lit(f"Valor duplicado na coluna '{spec.name}' (linhas "), F.col("where"), F.when(F.col("n") > 20, F.concat(F.lit(" ... "), F.col("n").cast("string"), F.lit(" no total"))).otherwise(""), F.lit(")"))
+    some = _first_lines(members, LINES).select("key", F.array_join(F.transform("lines", lambda x: x.cast("string")), ", ").alias("where"))
+    message = F.concat(F.lit(f"Valor duplicado na coluna '{spec.name}' (linhas "), F.col("where"), F.when(F.col("n") > LINES, F.concat(F.lit(" ... "), F.col("n").cast("string"), F.lit(" no total"))).otherwise(""), F.lit(")"))
     return members.join(some, "key").select(_issue(F.col("line"), spec.name, "duplicado", message, "error", F.lit(None).cast("string"), seq).alias("i")).select("i.*")
 
 

@@ -290,7 +290,7 @@ def split_invalid_with_reasons(spark, d):
 
 @query("SELECT o_custkey::VARCHAR AS key, count(*) AS n, min(o_orderkey + 2) AS first FROM orders GROUP BY 1 HAVING count(*) > 1")
 def dup_values_orders(spark, d):
-    return rules.duplicate_values(sheet(spark, d), "o_custkey").select("key", "n", "first")
+    return rules.duplicate_values(sheet(spark, d), "o_custkey", lines=0).select("key", "n", "first")
 
 
 @query("""SELECT doc_id AS line, f AS original FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents) WHERE doc_id <> f""")

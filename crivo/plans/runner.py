@@ -48,7 +48,8 @@ class Pipeline:
     def after(self, result: Result) -> None:
         pass
 
-    def run(self, spark: SparkSession, log: str | None = None, user: str = "", environment: str = "") -> Result:
+    def run(self, spark: SparkSession, log: str | None = None, user: str = "", environment: str = "", inputs: str = "", secret: str = "") -> Result:
+        """``inputs`` tells what the run is given; the log has its HMAC by ``secret``, and not what it is."""
         began = time.monotonic()
         try:
             self.before()
@@ -58,9 +59,9 @@ class Pipeline:
         result.duration_ms = int((time.monotonic() - began) * 1000)
         self.after(result)
         if log:
-            row = (time.time_ns(), datetime.now(UTC), self.name, user, result.status, environment, "", None, result.duration_ms, result.rows_affected, result.rows_failed, result.error)
+            row = (None, datetime.now(UTC), self.name, user, result.status, environment, "", None, result.duration_ms, result.rows_affected, result.rows_failed, result.error, inputs)
             try:
-                audit.append(spark.createDataFrame([row], audit.SCHEMA), log)
+                audit.append(spark.createDataFrame([row], f"{audit.SCHEMA}, _inputs string"), log, "_inputs", secret)
             except Exception as e:  # noqa: BLE001  a log that can't be written doesn't undo the run
                 result.data["audit_error"] = str(e)
         return result

@@ -132,7 +132,7 @@ def test_outcomes_of_statuses(spark):
     assert {r[0]: (r[1], r[2]) for r in df.select("s", web.status_category(F.col("s")), web.may_resend(F.col("s"))).collect()} == table
     bodies = {'{"id": 42}': "42", '{"record_id": "r1"}': "r1", '{"data": {"id": 7}}': "7", '{"id": " "}': None, "[1]": None, "x": None}
     assert values(spark, list(bodies), web.external_id) == list(bodies.values())
-    assert values(spark, ['{"error": "ruim", "detalhes": ["a", "b"]}', "z" * 200], web.error_text) == ["ruim: a; b", "z" * 120]
+    assert values(spark, ['{"error": "ruim", "detalhes": ["a", "b"]}', "z" * 200], web.error_text) == ["ruim: a, b", "z" * 120]
 
 
 def test_guards_and_masked_structs(spark):

@@ -1,15 +1,18 @@
 """Operators on small sheets, logs and deliveries."""
 
 import datetime
+import hmac
 import os
 import random
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from crivo.operators import audit, cleaning, delivery, profile, routing, rules
+from crivo.functions import web
+from crivo.operators import audit, cleaning, delivery, ledger, profile, routing, rules
 from crivo.plans.runner import ExpectedError, Pipeline, Result, chained
 from crivo.sources import sinks
 
@@ -202,6 +205,83 @@ def test_rows_are_sent_once_whatever_reads_their_outcomes(spark, tmp_path):
         delivery.send(rows.filter("line < 0"), counted, outcomes)
 
 
+def killing(folder, at):
+    """Counts the calls of each key, and dies once at a name."""
+
+    def call(payload, headers):
+        if payload["nome"] == at and not os.path.exists(f"{folder}/killed"):
+            open(f"{folder}/killed", "w").close()
+            raise RuntimeError("the driver is gone")
+        with open(f"{folder}/calls", "a") as f:
+            f.write(headers["Idempotency-Key"] + "\n")
+        return {"b": (422, '{"error": "cpf"}', {}), "c": (200, '{"ok": false, "description": "chat not found"}', {}), "d": (503, "fora", {})}.get(payload["nome"], (201, '{"id": 9}', {}))
+
+    return call
+
+
+def test_no_key_is_sent_twice(spark, tmp_path):
+    rows = spark.createDataFrame([(k, n, "m") for k, n in enumerate("abcdefghija", 2)], "line long, nome string, _nota string").repartition(3)
+    book, retry = str(tmp_path / "ledger"), delivery.Retry(attempts=1, first=0.0, jitter=0.0)
+    for at in ("f", "never"):
+        (tmp_path / "killed").unlink(missing_ok=True)
+        if at == "f":
+            with pytest.raises(Exception, match="the driver is gone"):
+                ledger.send_once(rows, killing(tmp_path, at), book, retry, flush=1)
+    out = ledger.send_once(rows, killing(tmp_path, "never"), book, retry, flush=1)
+    got = {r["nome"]: (r["categoria"], r["sucesso"], r["mensagem"], r["pode_reenviar"], r["id_externo"]) for r in out.collect()}
+    assert got["a"] == ("sucesso", True, "", False, "9") and got["b"][:2] == ("validacao", False) and got["c"] == ("outro", False, "chat not found", False, None) and got["d"][3]
+    calls = (tmp_path / "calls").read_text().splitlines()
+    assert len(calls) == len(set(calls)) == 10 and out.count() == 11
+    # a third run has nothing to send but what may have gone away, if that is asked for
+    ledger.send_once(rows, killing(tmp_path, "never"), book, retry)
+    assert len((tmp_path / "calls").read_text().splitlines()) == 10
+    ledger.send_once(rows, killing(tmp_path, "never"), book, retry, again=True)
+    assert len((tmp_path / "calls").read_text().splitlines()) == 11
+    assert ledger.send_once(rows.limit(0), killing(tmp_path, "never"), str(tmp_path / "none"), retry).count() == 0
+
+
+def test_entries_have_ids_of_their_own(spark, tmp_path):
+    path, at = str(tmp_path / "log"), datetime.datetime(2026, 1, 1)
+    entry = lambda k, given=None: (given, at + datetime.timedelta(seconds=k), "t", "u", "success", "e", "", None, 1, 1, 0, None, f"in {k}" if k % 2 else None)
+    frame = lambda ks: spark.createDataFrame([entry(k) for k in ks], f"{audit.SCHEMA}, given string")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: audit.append(frame([9 * k + 2, 9 * k + 1, 9 * k + 3]), path, "given", "key"), range(4)))
+    audit.append(spark.createDataFrame([entry(99, 7)[:-1]], audit.SCHEMA), path)
+    rows = audit.read(spark, path).collect()
+    assert len(rows) == 13 and len({r["id"] for r in rows}) == 13 and 7 in {r["id"] for r in rows}
+    by = {}
+    for r in rows:
+        by.setdefault(r["id"] >> audit.ROW_BITS, []).append((r["id"], r["timestamp"]))
+    assert all(sorted(x) == sorted(x, key=lambda p: p[1]) for x in by.values()) and set(by) == {0, 1, 2, 3, 4}
+    for r in rows:
+        k = int((r["timestamp"] - at).total_seconds())
+        assert r["input_hash"] == (hmac.new(b"key", f"in {k}".encode(), "sha256").hexdigest() if k % 2 and k != 99 else "")
+
+
+def test_runs_leave_a_digest_of_their_input(spark, tmp_path):
+    class Runs(Pipeline):
+        name = "roda"
+
+        def execute(self):
+            return Result("success")
+
+    path = str(tmp_path / "log")
+    for _ in range(2):
+        assert "audit_error" not in Runs().run(spark, path, inputs="clientes.csv", secret="s").data
+    rows = audit.read(spark, path)
+    inputs = rows.select("id", F.lit("clientes.csv").alias("input"))
+    assert [r["verified"] for r in audit.verified(rows, inputs, web.hmac_sha256(F.col("input"), "s")).collect()] == [True, True]
+    assert rows.select("id").distinct().count() == 2
+
+
+def test_lines_of_a_hot_key_are_bounded(spark):
+    df = spark.range(3000).selectExpr("id + 2 as line", "case when id % 3 = 0 then 'quente' else concat('k', id div 2) end as nome")
+    got = {r["key"]: r for r in rules.duplicate_values(df, "nome").collect()}
+    assert got["quente"]["n"] == 1000 and got["quente"]["lines"] == [2 + 3 * k for k in range(20)] and got["quente"]["first"] == 2
+    assert rules.duplicate_values(df, "nome", lines=0).columns == ["key", "n", "first"]
+    assert rules.duplicate_members(df, "nome").filter("key = 'quente'").count() == 1000
+
+
 def test_a_validation_workbook_tells_what_it_leaves_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "REPORT_ROWS", 3)
     lines = spark.createDataFrame([(k, f"v{k}") for k in (9, 7, 5, 3, 2)], "line long, nome string").repartition(4)
