@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.audit import numbered
 from ..sources.files import stored
@@ -38,6 +39,50 @@ def rate_limited(events: DataFrame, limit: int, window: float = 60.0) -> DataFra
     return events.groupBy("key").applyInPandasWithState(run, DECISIONS, "hits array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+class _Limiter(StatefulProcessor):
+    """A key's allowed hits, and a timer for when it has been idle long enough to be forgotten."""
+
+    def __init__(self, limit: int, window: float, idle: float) -> None:
+        self.limit, self.window, self.idle = limit, window, int(1000 * idle)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hits = handle.getValueState("hits", "hits array<double>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        # a state without a hit is that of a key which has had denied ones only
+        hits, out = list(self.hits.get()[0]) if self.hits.exists() else [], []
+        for ts in batch["ts"]:
+            ok, hits = decide(hits, ts.timestamp(), self.limit, self.window)
+            out.append(ok)
+        self.hits.update((hits,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(batch["ts"].max().timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + self.idle)
+        yield batch.assign(allowed=out)[["key", "event_id", "ts", "allowed"]]
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.hits.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limited_expiring(events: DataFrame, limit: int, window: float = 60.0, idle: float = 900.0, delay: str = "1 minute") -> DataFrame:
+    """``rate_limited`` with states that go: a key that has had no event for ``idle`` seconds of event time is forgotten.
+
+    Events later than the watermark (``delay`` behind the latest) have no decision: they are left out
+    and counted by Spark among the rows dropped. ``idle`` is one window at least, as the limiter looks
+    back that far. State is kept in RocksDB, which the session has to name as its state store.
+    """
+    if idle < window:
+        raise ValueError("a key must not be forgotten within its window")
+    processor = _Limiter(limit, window, idle)
+    return events.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(processor, DECISIONS, "append", "eventTime")
+
+
 #: Events of a key that one task decides on, and most rounds of handing states on.
 RANGE_ROWS, ROUNDS = 200_000, 10_000
 

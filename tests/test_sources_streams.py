@@ -362,6 +362,41 @@ def test_rate_limit_over_ranges(spark, rows):
     assert events.rate_limited_batch(df.limit(0), 1, range_rows=rows).count() == 0
 
 
+def test_limiter_forgets_idle_keys(spark, tmp_path):
+    """Decisions as without expiry while keys are busy; states go after 15 minutes of event time; late events are left out."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = tmp_path / "in"
+    folder.mkdir()
+    schema = "key long, event_id long, ts timestamp"
+    stream = events.rate_limited_expiring(spark.readStream.schema(schema).parquet(str(folder)), 2, idle=900)
+    sizes, dropped = [], []
+
+    def feed(seconds, key, first):
+        at = datetime.datetime(2026, 1, 1)
+        spark.createDataFrame([(key, first + i, at + datetime.timedelta(seconds=s)) for i, s in enumerate(seconds)], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        state = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+        sizes.append(state[-1]["numRowsTotal"])
+        dropped.append(sum(x["numRowsDroppedByWatermark"] for x in state))
+
+    try:
+        feed(SECONDS[:6], 1, 0)
+        feed(SECONDS[6:], 1, 6)
+        feed([401], 3, 90)  # two keys
+        feed([5000], 2, 100)  # the watermark goes past the first key's timer
+        feed([5001, 30], 2, 101)  # and an event of long ago comes
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {r["event_id"]: r["allowed"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert [got[i] for i in range(len(SECONDS))] == plain_limiter(SECONDS, 2)
+    assert got[100] and got[101] and 102 not in got and sum(dropped) == 1
+    # a key's rows in the state: its hits and its timer; both first keys are gone at the end
+    assert sizes[0] == sizes[1] > 0 and sizes[2] == 2 * sizes[0] and sizes[-1] == sizes[0], sizes
+    with pytest.raises(ValueError):
+        events.rate_limited_expiring(spark.readStream.schema(schema).parquet(str(folder)), 2, idle=10)
+
+
 def test_hits_over_the_ends_of_buckets(spark):
     seconds = [(i * i * 31) % 4000 for i in range(400)]
     got = sorted((r["event_id"], r["hits"]) for r in events.hits_in_window(hits(spark, seconds)).collect())
