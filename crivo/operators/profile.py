@@ -37,12 +37,18 @@ def has_space_issue(c: Column) -> Column:
     return F.coalesce((strip(c) != c) | c.rlike(rf"\S{SPACE}{{2,}}\S"), F.lit(False))
 
 
+def cell_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (column, value, n): how often each column has each value. Equal cells are counted before the shuffle."""
+    return long_form(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
 def column_figures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: filled, empty, fill_rate, distinct_count, uniqueness_rate, surplus, space issues, sheet errors, and votes on types.
+    """``figures`` of a table's columns: one pass."""
+    return figures(cell_counts(df, columns))
+
 
-    One pass that counts equal cells before the shuffle, so each distinct value is judged once.
-    """
-    cells = long_form(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
+def figures(cells: DataFrame) -> DataFrame:
+    """Per column: filled, empty, fill_rate, distinct_count, uniqueness_rate, surplus, space issues, sheet errors, and votes on types; each distinct value is judged once."""
     v, filled = F.col("value"), ~is_blank(F.col("value"))
     times = lambda test: F.sum(F.when(filled & test, F.col("n")).otherwise(0))
     t = strip(v)
@@ -161,9 +167,13 @@ def table_figures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cells = [F.col(f"`{c}`").cast("string") for c in columns]
     filled = reduce(lambda a, b: a + b, (F.when(~is_blank(c), 1).otherwise(0) for c in cells))
     key = F.sha2(F.to_json(F.array(*map(cell_text, cells))), 256)
-    grouped = df.select(filled.alias("filled"), key.alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.first("filled").alias("filled"))
+    return table_of(df.select(filled.alias("filled"), key.alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.first("filled").alias("filled")), len(columns))
+
+
+def table_of(grouped: DataFrame, width: int) -> DataFrame:
+    """``table_figures`` from rows (key, n, filled): how often each row occurs, and its filled cells."""
     out = grouped.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") * F.col("filled")), F.lit(0)).alias("filled_cells"), F.coalesce(F.sum(F.when(F.col("filled") == 0, F.col("n"))), F.lit(0)).alias("empty_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
-    total = F.col("rows") * len(columns)
+    total = F.col("rows") * width
     return out.withColumn("cells", total).withColumn("fill_rate", F.round(F.when(total > 0, F.col("filled_cells") / total).otherwise(0.0), 4))
 
 

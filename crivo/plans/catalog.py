@@ -161,6 +161,39 @@ def profile_orders(spark, d):
     return profile.column_figures(sheet(spark, d), SHEET).select("column", "rows", "filled", "distinct_count", "space_issues", "sheet_errors", "empty", "surplus", "fill_rate", "uniqueness_rate")
 
 
+@query(f"""WITH {SHEET_SQL}, c AS (UNPIVOT (SELECT * EXCLUDE (line) FROM sheet) ON * INTO NAME "column" VALUE v),
+g AS (SELECT "column", v, trim(v) AS t, count(*) AS n FROM c GROUP BY ALL)
+SELECT "column", sum(n)::BIGINT AS "rows", coalesce(sum(n) FILTER (t <> ''), 0)::BIGINT AS filled, count(*) FILTER (t <> '') AS distinct_count,
+       coalesce(sum(n) FILTER (t <> '' AND (t <> v OR regexp_matches(v, '\\S\\s{{2,}}\\S'))), 0)::BIGINT AS space_issues, coalesce(sum(n) FILTER (t = '#N/A'), 0)::BIGINT AS sheet_errors,
+       (sum(n) - sum(n) FILTER (t <> ''))::BIGINT AS "empty", (sum(n) FILTER (t <> '') - count(*) FILTER (t <> ''))::BIGINT AS surplus,
+       round(sum(n) FILTER (t <> '') / sum(n), 4) AS fill_rate, round(count(*) FILTER (t <> '') / sum(n) FILTER (t <> ''), 4) AS uniqueness_rate
+FROM g GROUP BY "column\"""")
+def profile_of_stored_states(spark, d):
+    """The same from the states of two halves, stored and read again."""
+    from ..operators import profile_state
+    from ..sources.files import shared_dir
+
+    halves = []
+    for part in (F.col("line") % 2 == 0, F.col("line") % 2 == 1):
+        profile_state.state(sheet(spark, d).filter(part), SHEET).save(path := shared_dir(spark, "profile"))
+        halves.append(profile_state.State.load(spark, path))
+    figures = profile.figures(halves[0].merged(halves[1]).cells)
+    return figures.select("column", "rows", "filled", "distinct_count", "space_issues", "sheet_errors", "empty", "surplus", "fill_rate", "uniqueness_rate")
+
+
+@query(f"""WITH {SHEET_SQL}, filled AS (SELECT line, o_comment AS v FROM sheet WHERE trim(o_comment) <> '')
+SELECT 'o_comment' AS "column", 'tipos_misturados' AS code, unnest((SELECT list_slice(list(v ORDER BY line), 1, 5) FROM filled)) AS value
+UNION ALL SELECT 'o_comment', 'espacos_extras', unnest((SELECT list_slice(list(v ORDER BY line), 1, 5) FROM filled WHERE v LIKE '  %' OR v = 'a   b'))
+UNION ALL SELECT 'o_orderstatus', 'tipos_misturados', unnest((SELECT list_slice(list(o_orderstatus ORDER BY line), 1, 5) FROM sheet))
+UNION ALL SELECT 'o_comment', 'erro_excel', '#N/A'""")
+def samples_of_findings(spark, d):
+    """The cells that a report shows for what was found."""
+    from ..operators import profile_state
+
+    found = profile_state.findings(profile_state.state(sheet(spark, d), SHEET))
+    return found.select("column", "code", F.explode("samples").alias("value"))
+
+
 @query(f"""WITH {SHEET_SQL}, c AS (UNPIVOT (SELECT * EXCLUDE (line) FROM sheet) ON * INTO NAME "column" VALUE v), k AS (
 SELECT "column", CASE WHEN trim(v) = '' THEN 'vazio' WHEN v = '#N/A' THEN 'erro' WHEN lower(trim(v)) IN ('sim','true','verdadeiro','v','yes','y','s','nao','não','false','falso','f','no','n') THEN 'booleano'
 WHEN regexp_matches(v, '^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}$') THEN 'data' WHEN regexp_matches(trim(v), '^[0-9]+$') THEN 'inteiro' ELSE 'texto' END AS type FROM c)

@@ -70,6 +70,12 @@ def write_extract(df: DataFrame, folder: str, source: str, pages: int, duration_
     Path(folder, "relatorio.json").write_text(json.dumps({"total_registros": df.count(), "paginas": pages, "colunas": df.columns, "origem": source, "duracao_ms": duration_ms}, indent=2, ensure_ascii=False), "utf-8")
 
 
+def write_profile(report: dict, path: str) -> None:
+    """What ``profile_state.report`` gives, as a JSON file."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(report, ensure_ascii=False, indent=2, default=str) + "\n", "utf-8")
+
+
 def first_issues(issues: DataFrame, n: int = 20) -> tuple[list, int]:
     """The first n issues by line, and how many more there are."""
     return issues.orderBy("line", "seq").limit(n).collect(), max(0, issues.count() - n)

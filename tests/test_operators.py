@@ -2,6 +2,7 @@
 
 import datetime
 import hmac
+import json
 import os
 import random
 import zipfile
@@ -12,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from crivo.functions import web
-from crivo.operators import audit, cleaning, delivery, ledger, profile, routing, rules
+from crivo.operators import audit, cleaning, delivery, ledger, profile, profile_state, routing, rules
 from crivo.plans.runner import ExpectedError, Pipeline, Result, chained
 from crivo.sources import sinks
 
@@ -282,6 +283,33 @@ def test_lines_of_a_hot_key_are_bounded(spark):
     assert rules.duplicate_members(df, "nome").filter("key = 'quente'").count() == 1000
 
 
+def test_profiles_of_merged_states(spark, tmp_path):
+    values = [" a", "b", "b", None, "#REF!", "3", "c  d", "", "e ", "#N/D", " f", "g  h", "b"]
+    rows = [(k, v, "1.234,5" if k % 2 else "7,25", "x") for k, v in enumerate(values, 2)]
+    df = spark.createDataFrame(rows, "line long, a string, valor string, igual string")
+    whole = profile_state.state(df, ("a", "valor", "igual"))
+    for k, part in enumerate(("line < 7", "line >= 7")):
+        profile_state.state(df.filter(part), ("a", "valor", "igual")).save(f"{tmp_path}/{k}")
+    both = profile_state.State.load(spark, f"{tmp_path}/1").merged(profile_state.State.load(spark, f"{tmp_path}/0"))
+    at = datetime.datetime(2026, 1, 1)
+    typed, changes = profile.normalize(df, profile.infer(df, ("valor",)))
+    got, want = (profile_state.report(x, changes, {"source_file": "a.csv", "header_row": 1, "warnings": []}, at) for x in (both, whole))
+    assert got == want and json.loads(json.dumps(got, default=str)) == got
+    by = {(f["column"], f["code"]): f for f in got["findings"]}
+    assert by["a", "espacos_extras"]["samples"] == [" a", "c  d", "e ", " f", "g  h"] and by["a", "espacos_extras"]["count"] == 5
+    assert by["a", "erro_excel"]["samples"] == ["#N/D", "#REF!"] and by["a", "tipos_misturados"]["samples"] == [" a", "b", "b", "#REF!", "3"]
+    valor = got["columns"][1]
+    assert (valor["inferred_type"], valor["minimum"], valor["maximum"], valor["sample_values"]) == ("decimal", "7.25", "1234.5", ["7,25", "1.234,5", "7,25", "1.234,5", "7,25"])
+    assert got["estrutura"]["row_count"] == 13 and got["estrutura"]["empty_cells"] == 2 and got["estrutura"]["duplicate_row_count"] == 13 - len({r[1:] for r in [(k, v or "", w, x) for k, v, w, x in rows]})
+    assert got["leitura"]["conversion_count"] == 13 and got["leitura"]["header_row"] == 1
+    sinks.write_profile(got, f"{tmp_path}/p/perfil.json")
+    assert json.loads((tmp_path / "p" / "perfil.json").read_text("utf-8"))["columns"][2]["distinct_count"] == 1
+    empty = profile_state.report(profile_state.state(df.limit(0), ("a",)))
+    assert empty["estrutura"]["row_count"] == 0 and empty["findings"] == [] and empty["columns"] == []
+    with pytest.raises(ValueError):
+        whole.merged(profile_state.state(df, ("a",)))
+
+
 def test_a_validation_workbook_tells_what_it_leaves_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "REPORT_ROWS", 3)
     lines = spark.createDataFrame([(k, f"v{k}") for k in (9, 7, 5, 3, 2)], "line long, nome string").repartition(4)

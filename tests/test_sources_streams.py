@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crivo.plans import catalog
-from crivo.sources import detect, files, sinks, tabular, web, xlsx
+from crivo.sources import detect, files, sinks, tabular, walk, web, xlsx
 from crivo.streaming import events
 
 
@@ -217,6 +217,24 @@ def test_sheets_are_read_to_their_end(spark, tmp_path):
     assert scored(spark, grid)[0][0] <= 0.2
 
 
+@pytest.mark.parametrize("tasks", [1, 3, 64])
+def test_folders_are_walked(spark, tmp_path, tasks):
+    wanted = ["a.txt", "leer.txt", "x/b.txt", "x/y/c.txt", "x/y/z/d.txt", "w/e.txt", "w/v/f.tmp.txt"]
+    for name in [*wanted, "x/y/no.tmp", ".git/g", ".git/h/i.txt", "w/.git/j.txt"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if name == "leer.txt" else name)
+    (tmp_path / "nothing").mkdir()
+    for path in (str(tmp_path), f"file://{tmp_path}/"):
+        got = walk.walk(spark, path, True, (".git", "*.tmp"), tasks).collect()
+        assert sorted(r["path"].split(f"{tmp_path}/")[1] for r in got) == sorted(wanted)
+        assert all(r["path"].endswith(r["name"]) and r["length"] == (0 if r["name"] == "leer.txt" else len(r["path"].split(f"{tmp_path}/")[1])) for r in got)
+    flat = walk.walk(spark, str(tmp_path)).orderBy("name")
+    assert [r["name"] for r in flat.collect()] == ["a.txt", "leer.txt"] and flat.first()["modificationTime"] is not None
+    assert walk.walk(spark, f"{tmp_path}/nothing", True).count() == 0
+    fingerprint = files.fingerprint(walk.walk(spark, str(tmp_path), True, (".git",))).first()
+    assert fingerprint["files"] == len(wanted) + 1
+
+
 def test_footer(spark):
     df = spark.createDataFrame([(2, "a", "1", "x"), (3, "b", "2", "y"), (4, "TOTAL", "3", None)], "line long, p string, q string, r string")
     assert tabular.footer_like(df, ["p", "q", "r"]) and not tabular.footer_like(df.filter("line < 4"), ["p", "q", "r"])
