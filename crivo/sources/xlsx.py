@@ -12,6 +12,8 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from itertools import islice
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -23,6 +25,8 @@ from .detect import Rejected, choose_sheet, header_scores, headers, sheet_scores
 # Fixed values of the format.
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 BUILT_IN = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 14: "dd/mm/yyyy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 22: "dd/mm/yyyy hh:mm", 44: "$#,##0.00"}
+#: Cells that a task gives on at a time.
+CELLS_AT_A_TIME = 50_000
 CELLS = "file string, sheet string, line long, col int, value string, excel_type string, number_format string, is_formula boolean"
 
 
@@ -79,14 +83,28 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([(path, *c) for c in cells(bytes(content))], columns=["file", "sheet", "line", "col", "value", "excel_type", "number_format", "is_formula"])
+                found = cells(bytes(content))
+                while part := [(path, *c) for c in islice(found, CELLS_AT_A_TIME)]:
+                    yield pd.DataFrame(part, columns=["file", "sheet", "line", "col", "value", "excel_type", "number_format", "is_formula"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CELLS)
 
 
-def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, header_row: int | None = None) -> DataFrame:
-    """The table of one workbook: all cells as text and ``line``; unless named, the sheet is found by figures over all
-    its cells and the header by the first rows and those that follow them. The table is as wide as its widest row."""
+@dataclass(frozen=True)
+class Located:
+    """Where a table lies in a workbook: the sheet, its header and names, its last line, and how all sheets score."""
+
+    sheet: str
+    header_row: int
+    names: list[str]
+    last: int
+    confidence: float
+    alternatives: list[int]
+    sheets: list[dict]
+
+
+def located(spark: SparkSession, path: str, sheet: str | None = None, header_row: int | None = None) -> Located:
+    """Unless named, the sheet is found by figures over all its cells and the header by the first rows and those that follow them."""
     found = read_cells(spark, path).persist()
     try:
         sheets = found.withColumn("at", F.monotonically_increasing_id()).groupBy("sheet").agg(F.max("col").alias("width"), F.max("line").alias("last"), F.min("at").alias("at"))
@@ -94,16 +112,24 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, header_
         scored = sheet_scores(found, sheets.select("sheet", "width"), best).join(sheets, "sheet").join(best, "sheet", "left").orderBy("at").collect()  # a row per sheet
         chosen = choose_sheet({r["sheet"]: r["score"] for r in scored}, sheet)
         told = next(r for r in scored if r["sheet"] == chosen)
-        width, last, at = told["width"], told["last"], (header_row or told["header_row"] or 1) - 1
-        if header_row is not None and not 1 <= header_row <= last:
-            raise Rejected(f"linha de cabecalho {header_row} fora da aba (ela tem {last} linhas)")
-        header = {r["col"]: r["value"] for r in found.filter((F.col("sheet") == chosen) & (F.col("line") == at + 1)).collect()}
+        width, last, at = told["width"], told["last"], header_row if header_row is not None else told["header_row"] or 1
+        if not 1 <= at <= last:
+            raise Rejected(f"linha de cabecalho {at} fora da aba (ela tem {last} linhas)")
+        header = {r["col"]: r["value"] for r in found.filter((F.col("sheet") == chosen) & (F.col("line") == at)).collect()}
     finally:
         found.unpersist()
     names = unique_names([header.get(k + 1) for k in range(width)])
-    of_table = found.filter(F.col("sheet") == chosen)
-    body = of_table.filter(F.col("line") > at + 1)
-    return body.groupBy("line").agg(*(F.max(F.when(F.col("col") == k + 1, F.col("value"))).alias(n) for k, n in enumerate(names)))
+    ranked = sorted(scored, key=lambda r: -r["score"])
+    tables = [{"name": r["sheet"], "score": r["score"], "rows": r["last"], "cols": r["width"], "reason": r["reason"]} for r in ranked]
+    sure, others = (1.0, []) if header_row is not None else (told["confidence"] or 0.0, list(told["alternatives"] or []))
+    return Located(chosen, at, names, last, sure, others, tables)
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, header_row: int | None = None) -> DataFrame:
+    """The table of one workbook: all cells as text and ``line``, as wide as its widest row."""
+    at = located(spark, path, sheet, header_row)
+    body = read_cells(spark, path).filter((F.col("sheet") == at.sheet) & (F.col("line") > at.header_row))
+    return body.groupBy("line").agg(*(F.max(F.when(F.col("col") == k + 1, F.col("value"))).alias(n) for k, n in enumerate(at.names)))
 
 
 def workbook(sheets: dict[str, tuple[Sequence[str], Sequence[Sequence]]]) -> bytes:

@@ -5,6 +5,7 @@ import datetime
 import io
 import json
 import re
+import zipfile
 from html import unescape
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crivo.plans import catalog
-from crivo.sources import detect, files, sinks, tabular, walk, web, xlsx
+from crivo.sources import detect, files, sinks, tabular, walk, web, workbook, xlsx
 from crivo.streaming import events
 
 
@@ -217,6 +218,72 @@ def test_sheets_are_read_to_their_end(spark, tmp_path):
     assert scored(spark, grid)[0][0] <= 0.2
 
 
+def styled(data, formats):
+    """A workbook whose cells have number formats: (cell, format code)."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as w:
+        for n in z.namelist():
+            body = z.read(n).decode()
+            if n.endswith("sheet1.xml"):
+                for k, cell in enumerate(formats, 1):
+                    body = re.sub(rf'<c r="{cell}"', f'<c r="{cell}" s="{k}"', body)
+                body = body.replace("<v>7</v>", "<f>3+4</f><v>7</v>")
+            w.writestr(n, body)
+        codes = "".join(f'<numFmt numFmtId="{200 + k}" formatCode="{f}"/>' for k, f in enumerate(formats.values()))
+        xfs = '<xf numFmtId="0"/>' + "".join(f'<xf numFmtId="{200 + k}"/>' for k in range(len(formats)))
+        w.writestr("xl/styles.xml", f'<styleSheet xmlns="{xlsx.NS["m"]}"><numFmts>{codes}</numFmts><cellXfs>{xfs}</cellXfs></styleSheet>')
+    return out.getvalue()
+
+
+def test_a_workbook_is_read_with_types_and_warnings(spark, tmp_path):
+    rows = [
+        ["Arroz", 43800, 0.12, 1234.125, "R$ 1.234,56", 1, None, "00123", "#N/A"],
+        ["Feijao", 43801.5, 0.5, 10, "R$ 10,00", 7, None, "00124", "#N/A"],
+        [None] * 9,
+        ["Milho", 43802, 1, 5.5, "R$ 7,10", "uma duzia", None, "00125", "#N/A"],
+        ["Milho", 43802, 1, 5.5, "R$ 7,10", "uma duzia", None, "00125", "#N/A"],
+        ["TOTAL", None, None, 1255.125, None, None, None, None, None],
+    ]
+    names = ["produto", "data", "margem", "valor", "preco", "quantidade", "vazio", "codigo", "erro"]
+    formats = {f"B{k}": "dd/mm/yyyy" for k in (2, 5, 6)} | {"B3": "dd/mm/yyyy hh:mm"} | {f"C{k}": "0%" for k in (2, 3, 5, 6)}
+    (tmp_path / "v.xlsx").write_bytes(styled(xlsx.workbook({"Dados": (names, rows)}), formats))
+    got = workbook.read_table(spark, str(tmp_path / "v.xlsx"))
+    assert (got.rejected_reason, got.selected_sheet, got.header_row, got.file_type, got.skipped_empty_rows) == (None, "Dados", 1, "xlsx", 1)
+    assert got.confidence == min(got.sheets[0]["score"], got.header_confidence) > 0.5
+    types = {c["name"]: c["inferred_type"] for c in got.columns}
+    assert types == {"produto": "texto", "data": "misto", "margem": "percentual", "valor": "decimal", "preco": "moeda", "quantidade": "misto", "vazio": "vazio", "codigo": "identificador", "erro": "erro"}
+    assert {c["name"]: c["excel_number_format"] for c in got.columns}["margem"] == "0%"
+    typed = got.typed.orderBy("line").collect()
+    assert [r["valor"] for r in typed] == [1234.125, 10.0, 5.5, 5.5, 1255.125] and [r["margem"] for r in typed] == [0.12, 0.5, 1.0, 1.0, None]
+    assert [r["preco"] for r in typed][:2] == [1234.56, 10.0] and [r["data"] for r in typed][:2] == ["01/12/2019", "02/12/2019 12:00:00"] and [r["line"] for r in typed] == [2, 3, 5, 6, 7]
+    codes = [(w["code"], w["column"]) for w in got.warnings]
+    assert codes == [("rodape_suspeito", None), ("formulas", None), ("linhas_vazias_ignoradas", None), ("coluna_mista", "data"), ("coluna_mista", "quantidade"), ("erro_excel", "erro"), ("linhas_duplicadas", None), ("coluna_vazia", "vazio")]
+    assert got.warnings[0]["row"] == 7 and "1 celula" in got.warnings[1]["message"]
+    assert {r["rule"] for r in got.conversions.filter("column = 'preco'").collect()} == {"moeda_br"}
+    told = got.reading()
+    assert told["source_file"] == "v.xlsx" and told["available_sheets"][0]["cols"] == 9
+
+
+def test_numbers_beside_written_ones(spark, tmp_path):
+    (tmp_path / "m.xlsx").write_bytes(xlsx.workbook({"Dados": (["a", "b"], [["x", 1.5], ["y", "2,75"], ["z", 3]])}))
+    got = workbook.read_table(spark, str(tmp_path / "m.xlsx"))
+    assert [r["b"] for r in got.typed.orderBy("line").collect()] == [1.5, 2.75, 3.0]
+    # numbers of days without a date's format stay numbers
+    (tmp_path / "d.xlsx").write_bytes(xlsx.workbook({"Dados": (["produto", "data"], [["x", 43800], ["y", 43801], ["z", 43802]])}))
+    assert workbook.read_table(spark, str(tmp_path / "d.xlsx")).columns[1]["inferred_type"] == "inteiro"
+
+
+def test_delimited_tables_and_refusals(spark, tmp_path):
+    got = workbook.read_table(spark, write(tmp_path, "t.csv", "nome,idade,cidade\nAna,30,Rio\n\nBia,31,\nCai,32,Ita\n"))
+    assert {c["name"]: (c["inferred_type"], c["empty_count"], c["sample_values"]) for c in got.columns} == {"nome": ("texto", 0, ["Ana", "Bia", "Cai"]), "idade": ("inteiro", 0, ["30", "31", "32"]), "cidade": ("texto", 1, ["Rio", "Ita"])}
+    assert [w["code"] for w in got.warnings] == ["linhas_vazias_ignoradas"] and got.skipped_empty_rows == 1 and got.raw.count() == 3
+    for name, data, reason in (("a.xls", "", ".xls antigo"), ("a.pdf", "", "extensao"), ("b.csv", "so texto\n", "cabecalho")):
+        assert reason in workbook.read_table(spark, write(tmp_path, name, data)).rejected_reason
+    (tmp_path / "two.xlsx").write_bytes(xlsx.workbook({n: (["a", "b"], [["x", 1], ["y", 2], ["z", 3]]) for n in ("Um", "Dois")}))
+    assert "mais de uma aba" in workbook.read_table(spark, str(tmp_path / "two.xlsx")).rejected_reason
+    assert workbook.read_table(spark, str(tmp_path / "two.xlsx"), sheet="Dois").raw.count() == 3
+
+
 @pytest.mark.parametrize("tasks", [1, 3, 64])
 def test_folders_are_walked(spark, tmp_path, tasks):
     wanted = ["a.txt", "leer.txt", "x/b.txt", "x/y/c.txt", "x/y/z/d.txt", "w/e.txt", "w/v/f.tmp.txt"]
