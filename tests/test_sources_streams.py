@@ -173,7 +173,7 @@ def test_sheets_are_told_apart(spark):
 
 def test_header_alternatives(spark):
     """Two rows that look like headers: the upper one of equals, the other named."""
-    grid = [["nome", "cidade"], ["rua", "bairro"], ["x", "y"], ["z", "w"], ["a", "b"], ["c", "d"], ["e", "f"]]
+    grid = [["nome", "cidade"], ["rua", "bairro"], *[[f"um{k}", f"dois{k}"] for k in "abcde"]]
     cells = spark.createDataFrame([("s", i, j, c) for i, row in enumerate(grid, 1) for j, c in enumerate(row, 1)], "sheet string, line long, col int, value string")
     best = detect.headers(detect.header_scores(cells, spark.createDataFrame([("s", 2)], "sheet string, width long"))).first()
     assert (best["header_row"], best["confidence"], best["alternatives"]) == (1, 1.0, [2, 3, 4])
