@@ -60,11 +60,17 @@ def matched_rule(name: Column, routes: Routes, case_sensitive: bool = True) -> C
     return out
 
 
+#: Rules that are sent to all rows.
+MAX_RULES = 10_000
+
+
 def matched_by_table(df: DataFrame, rules: DataFrame, name: str) -> DataFrame:
-    """The same from a table of rules (ord, rule, regex), for rule sets too long for a chain; the table is as long as people write.
+    """The same from a table of rules (ord, rule, regex), for rule sets too long for a chain; more than ``MAX_RULES`` are refused.
 
     The rules go to every row as one list in their order, so each row stays, repeated ones as well.
     """
+    if rules.count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
     own = next(c for c in map("_rules{}".format, range(len(df.columns) + 1)) if c not in df.columns)
     listed = rules.filter("ord is not null").agg(F.array_sort(F.collect_list(F.struct("ord", "rule", "regex"))).alias(own))
     fits = F.filter(own, lambda r: F.rlike(F.col(f"`{name}`"), r["regex"]))

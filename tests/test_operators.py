@@ -350,6 +350,14 @@ def test_routing(spark):
     assert {r["status"]: r["n"] for r in routing.counters(routing.plan(files, routes)).collect()} == {"moved": 3, "unmatched": 2}
 
 
+def test_too_many_rules_are_refused(spark):
+    rules_ = spark.range(routing.MAX_RULES + 1).selectExpr("id as ord", "'r' as rule", "'x' as regex")
+    names = spark.createDataFrame([("x",)], "name string")
+    with pytest.raises(ValueError):
+        routing.matched_by_table(names, rules_, "name")
+    assert routing.matched_by_table(names, rules_.limit(5), "name").first()["rule"] == "r"
+
+
 def plain_plan(names, existing, policy):
     """Destinations as the rule has them: the first of equal names keeps a free one, the others take free numbers."""
     there, wanted, out, given = set(existing), set(existing) | set(names), [], set()
