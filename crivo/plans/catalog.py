@@ -107,11 +107,12 @@ def audit_filtered_errors(spark, d):
     return audit.latest(chosen, 50).select("id", "task_name", "status")
 
 
-@query("""SELECT event_id AS id, try_cast(props->>'$.k' AS BIGINT) AS k, coalesce(try_cast(event_type AS BIGINT), 0) AS bad_number FROM events""")
+@query("""SELECT event_id AS id, event_id % 3 = 0 AS no_time, coalesce(try_cast(props->>'$.k' AS BIGINT), 0) AS duration_ms, coalesce(try_cast(event_type AS BIGINT), 0) AS rows_affected, user_id AS rows_failed FROM events""")
 def audit_typed_scan(spark, d):
     e = _t(spark, d, "events")
-    number = lambda c: c.try_cast("long")
-    return e.select(F.col("event_id").alias("id"), number(F.get_json_object("props", "$.k")).alias("k"), F.coalesce(number(F.col("event_type")), F.lit(0)).alias("bad_number"))
+    text = F.when(F.col("event_id") % 3 == 0, "ontem").otherwise(F.col("ts").cast("string"))
+    log = e.select(F.col("event_id").alias("id"), text.alias("timestamp"), F.get_json_object("props", "$.k").alias("duration_ms"), F.col("event_type").alias("rows_affected"), F.col("user_id").cast("string").alias("rows_failed"))
+    return audit.typed(log).select("id", F.col("timestamp").isNull().alias("no_time"), "duration_ms", "rows_affected", "rows_failed")
 
 
 @query("""WITH r AS (SELECT event_id AS run_id, event_type AS task_name, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE user_id % 2 = 0),
