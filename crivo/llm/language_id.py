@@ -179,7 +179,8 @@ def train(docs: DataFrame, learnable: Column, max_learned: int = MAX_LEARNED) ->
         at, of = word_ngrams(words.new) if words.new else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         order = np.argsort(of, kind="stable")
         offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))])
-        made = [np.unique(ragged(at[order], offsets, np.array(s, np.int64))[0], return_counts=True) for s in split]
+        by_word = at[order]  # once for all texts of the step
+        made = [np.unique(ragged(by_word, offsets, np.array(s, np.int64))[0], return_counts=True) for s in split]
         ends = np.concatenate([[0], np.cumsum([len(a) for a, _ in made])]).astype(np.int32)
         lists = [np.concatenate([m[k] for m in made] or [np.zeros(0)]).astype(np.int32) for k in (0, 1)]
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in lists]
