@@ -9,8 +9,12 @@ that would overshoot. Sums are of decimals, so that they don't depend on the ord
 
 Rates become copies: each document gets the whole part, and of the documents of one size some get
 one more. How many is rounded along a source's sizes from the largest down, each handing its
-remainder on, so that a source misses its target by less than a small document; that walk is over
-the histogram's rows of one source, of which there are as many as documents have distinct sizes.
+remainder on. A large document can leave over more than the smaller ones may take by their rates, so
+a second walk gives what is still owed to any size, up to the cap, or takes it back, where more than
+NEAR of the target is owed. The smallest LAST_SIZES sizes settle the rest by trying all changes of up
+to LAST_CHANGE copies each, so that a few documents give the nearest sum that whole copies can make.
+The walks are over the
+histogram's rows of one source, of which there are as many as documents have distinct sizes.
 Which ones is up to their hashes: those below one threshold per (source, size), found in ranges of
 the hash that stay small even if a third of all documents are copies of one text. So what goes to
 the documents has a row per (source, size), and is broadcast while its rows are few: texts stay put.
@@ -18,6 +22,7 @@ the documents has a row per (source, size), and is broadcast while its rows are
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,6 +38,12 @@ CELL_DOCS = 5_000
 #: Rows of decisions up to which they are broadcast to the documents, of about 50 bytes each.
 BROADCAST_ROWS = 500_000
 STEPS, CLOSE = 60, 1e-9
+#: Sizes that settle what rounding leaves over, and by how many copies each.
+LAST_SIZES, LAST_CHANGE = 7, 2
+#: A miss that whole words can't mend, with room for how closely the dual is solved.
+HALF_A_WORD = 0.51
+#: A miss, of the target, for which no document of a source with many sizes gets more or less than its rate's neighbours.
+NEAR = 1e-3
 
 
 def size_of(text: Column) -> Column:
@@ -99,18 +110,45 @@ def solve(histogram: DataFrame, sources: DataFrame, cap: int = 2) -> DataFrame:
     return state.select("sid", "scale", F.when(F.col("free"), F.col("lam")).alias("lam"), "target")
 
 
-def round_rates(cells: pd.DataFrame) -> pd.DataFrame:
-    """One source's sizes, the largest first, with whole copies: what rounding leaves over goes on to the next size."""
+def settle(owed: float, size: list[int], copies: list[int], least: list[int], most: list[int]) -> float:
+    """Changes the copies of the last few sizes together, by as little as brings what is owed nearest to zero; what is owed then."""
+    few = range(max(0, len(size) - LAST_SIZES), len(size))
+    ways = [np.arange(max(-LAST_CHANGE, least[k] - copies[k]), min(LAST_CHANGE, most[k] - copies[k]) + 1) for k in few]
+    change = np.stack([w.ravel() for w in np.meshgrid(*ways, indexing="ij")], axis=1)
+    left = owed - change @ np.array([size[k] for k in few], np.float64)
+    best = np.lexsort((np.abs(change).sum(axis=1), np.round(np.abs(left), 6)))[0]
+    for k, c in zip(few, change[best].tolist(), strict=True):
+        copies[k] += c
+    return float(left[best])
+
+
+def round_rates(cells: pd.DataFrame, cap: int = 2) -> pd.DataFrame:
+    """One source's sizes, the largest first, with whole copies: what rounding leaves over goes on to the next size.
+
+    A size takes its rates' floors or ceilings. Only if the sum can't be settled so to within NEAR of
+    the target (half a word where the last sizes are all), what is owed is walked down the sizes
+    with copies from 0 to the cap.
+    """
     cells = cells.sort_values("size", ascending=False)
-    owed, base, extra = 0.0, [], []
-    for size, n, rate_ in zip(cells["size"].tolist(), cells["n"].tolist(), cells["rate"].tolist(), strict=True):
-        low = int(rate_)
-        owed += n * size * (rate_ - low)
-        more = min(max(round(owed / size), 0), n if rate_ > low else 0)
-        owed -= more * size
-        base.append(low)
-        extra.append(more)
-    return pd.DataFrame({"sid": cells["sid"], "size": cells["size"], "docs": cells["n"], "rate": cells["rate"], "base": base, "extra": extra})
+    size, docs, rates = (cells[c].tolist() for c in ("size", "n", "rate"))
+    owed, copies = 0.0, [int(r) * n for r, n in zip(rates, docs, strict=True)]
+    near = HALF_A_WORD if len(size) <= LAST_SIZES else max(HALF_A_WORD, NEAR * sum(n * s * r for s, n, r in zip(size, docs, rates, strict=True)))
+    floors = list(copies)
+    ceilings = [-int(-r // 1) * n for r, n in zip(rates, docs, strict=True)]
+    carried = [n * s * (r - int(r)) for s, n, r in zip(size, docs, rates, strict=True)]
+    for least, most in ((floors, ceilings), ([0] * len(size), [cap * n for n in docs])):
+        for k, s in enumerate(size):
+            owed += carried[k]
+            more = min(max(round(owed / s), least[k] - copies[k]), most[k] - copies[k])
+            owed -= more * s
+            copies[k] += more
+        if abs(owed) > HALF_A_WORD:
+            owed = settle(owed, size, copies, least, most)
+        if abs(owed) <= near:
+            break
+        carried = [0.0] * len(size)
+    base, extra = [c // n for c, n in zip(copies, docs, strict=True)], [c % n for c, n in zip(copies, docs, strict=True)]
+    return pd.DataFrame({"sid": cells["sid"], "size": size, "docs": docs, "rate": rates, "base": base, "extra": extra})
 
 
 def hashed(doc_id: Column) -> Column:
@@ -135,7 +173,7 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     dual = solve(histogram, sources, cap)
     value = F.when(F.col("lam").isNotNull(), rate(F.col("lam"), F.col("size"), F.col("scale"), cap)).when(F.col("target") > 0, F.lit(float(cap))).otherwise(F.lit(0.0))
     rated = histogram.join(dual, "sid").select("sid", "size", "n", value.alias("rate"))
-    rounded = stored(rated.groupBy("sid").applyInPandas(round_rates, "sid long, size long, docs long, rate double, base long, extra long"), "rounded")
+    rounded = stored(rated.groupBy("sid").applyInPandas(lambda part: round_rates(part, cap), "sid long, size long, docs long, rate double, base long, extra long"), "rounded")
     # the range that holds the first document without a further copy, and that document's hash
     before = F.coalesce(F.sum("n").over(W.partitionBy("sid", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     some = rounded.filter("extra > 0 and extra < docs").select("sid", "size", "extra")

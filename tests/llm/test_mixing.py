@@ -1,3 +1,7 @@
+import itertools
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +72,36 @@ def test_equal_shares_when_all_sources_stop(spark):
     rows = {r["source"]: r for r in mixing.mix_report(docs).collect()}
     want = shared_out({"x": 3, "y": 1})
     assert {s: r["target"] for s, r in rows.items()} == pytest.approx(want)
+
+
+def rounded(sizes, target, cap=2):
+    """The words that rounding takes, with rates that are all alike."""
+    counted = {s: sizes.count(s) for s in sizes}
+    cells = pd.DataFrame({"sid": 1, "size": list(counted), "n": list(counted.values()), "rate": target / sum(sizes)})
+    out = mixing.round_rates(cells, cap)
+    assert ((out["base"] >= 0) & (out["extra"] < out["docs"]) & (out["base"] * out["docs"] + out["extra"] <= cap * out["docs"])).all()
+    return int((out["size"] * (out["base"] * out["docs"] + out["extra"])).sum())
+
+
+@pytest.mark.parametrize("docs", [1, 2, 3, 5])
+def test_few_documents_get_the_nearest_sum_of_all(docs):
+    draw = random.Random(docs)
+    for _ in range(60):
+        sizes = draw.sample(range(1, 3000), docs)
+        target = draw.uniform(0, 2 * sum(sizes))
+        best = min(abs(target - sum(c * s for c, s in zip(copies, sizes, strict=True))) for copies in itertools.product(range(3), repeat=docs))
+        assert abs(target - rounded(sizes, target)) == pytest.approx(best, abs=1e-5)
+
+
+def test_what_a_large_document_leaves_over_goes_to_others():
+    sizes = [2065, 453, 372, 261, 243, 189, 150, 142, 141, 46]
+    assert abs(rounded(sizes, 2865) - 2865) <= 3
+    assert rounded([10**6, *range(1, 50)], 2000) == 2000
+
+
+def test_documents_table_meets_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = mixing.mix_report(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 2 * F.col("size")).alias("above"), F.count("*").alias("n"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).collect()
+    assert sum(r["n"] for r in rows) == docs.count()
+    for r in rows:
+        assert r["above"] <= 0 and abs(r["taken"] - r["target"]) <= max(r["least"], mixing.NEAR * r["target"]), r
