@@ -17,8 +17,9 @@ DAY_FIRST = r"\A([0-9]{1,2})[/\-.]([0-9]{1,2})[/\-.]([0-9]{4})\z"
 YEAR_FIRST = r"\A([0-9]{4})[/\-.]([0-9]{1,2})[/\-.]([0-9]{1,2})\z"
 NUMERIC = r"\A[+-]?[0-9.,]*[0-9]\z"
 MASKED_DIGITS = r"\A[0-9][0-9.\-/ ]*[0-9]\z"
-DATETIME_FORMATS = ("d/M/yyyy H:m:s", "d/M/yyyy H:m", "yyyy-M-d H:m:s", "yyyy-M-d H:m")
-DATE_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d", "yyyy/M/d")
+DAY_OF_DATE = r"\A([0-9]{1,2})([/.-])([0-9]{1,2})\2((?!0000)[0-9]{4})\z"
+YEAR_OF_DATE = r"\A((?!0000)[0-9]{4})([/-])([0-9]{1,2})\2([0-9]{1,2})\z"
+CLOCK = r"\A(?:[0-9/]+/[0-9]{4}|[0-9]{4}-[0-9-]+)( [0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2})?)\z"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SERIAL_MIN, SERIAL_MAX = 1, 2_958_465
 SERIAL_LIKELY = (36_526, 54_789)
@@ -113,11 +114,17 @@ def parse_number(c: Column, decimal_mark: str) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """A timestamp without zone from text, by the calendar; null if no format fits."""
+    """A timestamp without zone from text, by the calendar; null if no format fits.
+
+    The day is what stands before the first space; a time counts after a day with slashes, or a year
+    with hyphens, and is left out where the clock has no such time. One pattern puts a text's parts in
+    order and one cast reads them, so that no format is tried in vain.
+    """
     t = strip(c)
     first = F.regexp_extract(t, r"\A([^ ]*)", 1)
-    tried = [F.try_to_timestamp(t, F.lit(f)) for f in DATETIME_FORMATS] + [F.try_to_timestamp(first, F.lit(f)) for f in DATE_FORMATS]
-    return F.coalesce(*tried).cast("timestamp_ntz")
+    day = F.when(first.rlike(DAY_OF_DATE), F.regexp_replace(first, DAY_OF_DATE, "$4-$3-$1")).when(first.rlike(YEAR_OF_DATE), F.regexp_replace(first, YEAR_OF_DATE, "$1-$3-$4"))
+    timed = F.when(t.rlike(CLOCK), F.concat(day, F.regexp_extract(t, CLOCK, 1)).try_cast("timestamp_ntz"))
+    return F.coalesce(timed, day.try_cast("timestamp_ntz"))
 
 
 def serial_date(n: Column) -> Column:

@@ -115,29 +115,44 @@ def infer(df: DataFrame, columns: Sequence[str]) -> dict[str, Typing]:
     return {row["column"]: decide(row) for row in column_figures(df, columns).collect()}
 
 
-def _converted(c: Column, typing: Typing) -> tuple[Column, Column, Column]:
-    """A cell's typed value, its text, and the rule that made it (null: none)."""
+def typed_value(c: Column, typing: Typing) -> Column:
+    """A cell's typed value; null where it can't be read, and text without blanks at its ends for all other types."""
     t = F.when(~is_blank(c), strip(c))
     if typing.type in DATES:
-        value = parse.parse_date(t)
-        text = F.when(F.date_format(value, "HH:mm:ss") == "00:00:00", F.date_format(value, "yyyy-MM-dd")).otherwise(F.date_format(value, "yyyy-MM-dd HH:mm:ss"))
-        return value, F.coalesce(text, t), F.when(value.isNotNull(), "data_texto")
+        return parse.parse_date(t)
+    if typing.type in NUMBERS:
+        return parse.parse_number(t, typing.decimal_mark)
+    return parse.parse_bool(t) if typing.type == "booleano" else t
+
+
+def _told(c: Column, value: Column, typing: Typing) -> tuple[Column, Column]:
+    """A cell's text after conversion, from its typed value, and the rule that made it (null: none)."""
+    t = F.when(~is_blank(c), strip(c))
+    if typing.type in DATES:
+        day, second = F.date_format(value, "yyyy-MM-dd"), F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+        return F.coalesce(F.when(value == F.date_trunc("day", value), day).otherwise(second), t), F.when(value.isNotNull(), "data_texto")
     if typing.type in NUMBERS:
-        value = parse.parse_number(t, typing.decimal_mark)
         rule = {"moeda": "moeda_br" if typing.decimal_mark == "," else "moeda_us", "percentual": "percentual_texto"}.get(typing.type, "numero_texto")
-        return value, F.coalesce(parse.trimmed_number(value), t), F.when(value.isNotNull(), rule)
+        return F.coalesce(parse.trimmed_number(value), t), F.when(value.isNotNull(), rule)
     if typing.type == "booleano":
-        value = parse.parse_bool(t)
-        return value, F.coalesce(F.initcap(value.cast("string")), t), F.when(value.isNotNull(), "booleano_texto")
-    return t, t, F.when(t != c, "espacos_nas_pontas")
+        return F.coalesce(F.initcap(value.cast("string")), t), F.when(value.isNotNull(), "booleano_texto")
+    return value, F.when(value != c, "espacos_nas_pontas")
 
 
 def normalize(df: DataFrame, typings: dict[str, Typing]) -> tuple[DataFrame, DataFrame]:
-    """The table with typed columns, and rows (line, column, original, normalized, rule) of the cells whose text changed."""
-    parts = {n: _converted(F.col(f"`{n}`").cast("string"), t) for n, t in typings.items()}
-    typed = df.withColumns({n: p[0] for n, p in parts.items()})
-    trail = [F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("original"), p[1].alias("normalized"), p[2].alias("rule")) for n, p in parts.items()]
-    changes = df.select("line", F.explode(F.array(*trail)).alias("c")).select("line", "c.*").filter("rule is not null and original <> normalized")
+    """The table with typed columns, and rows (line, column, original, normalized, rule) of the cells whose text changed.
+
+    Each cell is read once, in a projection below the one that tells of it.
+    """
+    cell = {n: F.col(f"`{n}`").cast("string") for n in typings}
+    values = {n: typed_value(cell[n], t) for n, t in typings.items()}
+    typed = df.withColumns(values)
+    read = df.select("line", F.struct(*(c.alias(f"c{k}") for k, c in enumerate(cell.values()))).alias("cells"), F.struct(*(v.alias(f"c{k}") for k, v in enumerate(values.values()))).alias("read"))
+    trail = []
+    for k, (n, t) in enumerate(typings.items()):
+        text, rule = _told(F.col(f"cells.c{k}"), F.col(f"read.c{k}"), t)
+        trail.append(F.struct(F.lit(n).alias("column"), F.col(f"cells.c{k}").alias("original"), text.alias("normalized"), rule.alias("rule")))
+    changes = read.select("line", F.explode(F.array(*trail)).alias("c")).select("line", "c.*").filter("rule is not null and original <> normalized")
     return typed, changes
 
 

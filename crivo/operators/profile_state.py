@@ -88,7 +88,7 @@ def ends(of: State, typings: dict[str, profile.Typing]) -> DataFrame:
     for name, typing in typings.items():
         if typing.type not in (*profile.NUMBERS, *profile.DATES):
             continue
-        typed, _, _ = profile._converted(F.col("value"), typing)
+        typed = profile.typed_value(F.col("value"), typing)
         text = lambda c, t=typing.type: parse.trimmed_number(c) if t in profile.NUMBERS else F.date_format(c, "yyyy-MM-dd")
         parts.append(of.cells.filter(F.col("column") == name).agg(F.lit(name).alias("column"), text(F.min(typed)).alias("min"), text(F.max(typed)).alias("max")))
     return reduce(DataFrame.unionByName, parts) if parts else of.cells.sparkSession.createDataFrame([], "column string, min string, max string")

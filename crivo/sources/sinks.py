@@ -13,7 +13,7 @@ import zipfile
 from collections.abc import Iterable, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .xlsx import workbook
@@ -22,6 +22,11 @@ from .xlsx import workbook
 REPORT_ROWS = 10_000
 
 
+def flat(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` with nested columns as JSON where the kind of file has none."""
+    return df.select(*(F.to_json(f"`{c}`").alias(c) if kind == "csv" and t.startswith(("array", "map", "struct")) else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
 def save(df: DataFrame, path: str) -> None:
     """A folder of part files of the kind that the extension names: .csv, .json, .parquet; .xlsx is one workbook of up to REPORT_ROWS rows."""
     kind = path.rsplit(".", 1)[-1].lower()
@@ -31,8 +36,7 @@ def save(df: DataFrame, path: str) -> None:
             raise ValueError(f"a workbook takes {REPORT_ROWS} rows; write .csv or .parquet")
         Path(path).write_bytes(workbook({"Dados": (df.columns, [list(r) for r in rows])}))
     elif kind in ("csv", "json", "parquet"):
-        flat = df.select(*(F.to_json(c).alias(c) if kind == "csv" and t.startswith(("array", "map", "struct")) else F.col(f"`{c}`") for c, t in df.dtypes))
-        flat.write.mode("overwrite").options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(path)
+        flat(df, kind).write.mode("overwrite").options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(path)
     else:
         raise ValueError(f"no writer for .{kind}")
 
@@ -42,32 +46,60 @@ def write_split(valid: DataFrame, invalid: DataFrame, folder: str) -> None:
     save(invalid, f"{folder}/registros_invalidos.csv")
 
 
-def write_validation(totals: DataFrame, valid: DataFrame, invalid: DataFrame, issues: DataFrame, folder: str) -> None:
-    """The split, all issues, a JSON summary, and a workbook of four sheets with the first REPORT_ROWS rows of each by line; its summary says how many rows each sheet leaves out."""
-    write_split(valid, invalid, folder)
-    save(issues, f"{folder}/problemas.csv")
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "relatorio.json").write_text(json.dumps(totals.first().asDict(), default=str, indent=2, ensure_ascii=False), "utf-8")
-    summary, sheets = [list(x) for x in totals.first().asDict().items()], {}
-    for name, df in (("Registros validos", valid), ("Registros invalidos", invalid), ("Auditoria", issues)):
-        order = [c for c in ("line", "seq") if c in df.columns]
-        sheets[name] = (df.columns, [list(r) for r in (df.orderBy(*order) if order else df).limit(REPORT_ROWS).collect()])
-        if left_out := df.count() - len(sheets[name][1]):
-            summary.append([f"Omitidos: {name}", left_out])
-    Path(folder, "relatorio.xlsx").write_bytes(workbook({"Resumo": (["campo", "valor"], summary)} | sheets))
-
-
-def write_delivery(sent: DataFrame, failed: DataFrame, rolled: DataFrame, folder: str) -> None:
-    save(sent, f"{folder}/enviados.csv")
-    save(failed, f"{folder}/falhas.csv")
+def write_validation(totals: DataFrame, valid: DataFrame, invalid: DataFrame, issues: DataFrame, folder: str, run: dict | None = None) -> None:
+    """The split, all issues, a JSON report (what is known of the run, the totals, the first REPORT_ROWS issues), and a workbook of four sheets with the first REPORT_ROWS rows of each by line; its summary says how many rows each sheet leaves out."""
+    heads = {
+        "Registros validos": saved(valid, f"{folder}/registros_validos.csv"),
+        "Registros invalidos": saved(invalid, f"{folder}/registros_invalidos.csv"),
+        "Auditoria": saved(issues, f"{folder}/problemas.csv"),
+    }
+    told = totals.first().asDict()
+    listed = [dict(zip(issues.columns, r, strict=True)) for r in heads["Auditoria"][0]]
+    write_json((run or {}) | told | {"issues": listed, "issues_omitidas": heads["Auditoria"][1] - len(listed)}, f"{folder}/relatorio.json")
+    write_workbook(told, {n: (df.columns, *heads[n]) for n, df in (("Registros validos", valid), ("Registros invalidos", invalid), ("Auditoria", issues))}, folder)
+
+
+def saved(df: DataFrame, path: str) -> tuple[list[list], int]:
+    """``df`` written by ``save``; its first REPORT_ROWS rows by line, and how many it has.
+
+    The rows are counted as they are written, and the first ones are read back from what was written (empty text as none), so that
+    ``df`` is worked out once.
+    """
+    seen = Observation()
+    save(df.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    back = df.sparkSession.read.options(header="true", multiLine="true").schema(flat(df, "csv").schema).csv(path)
+    order = [c for c in ("line", "linha", "seq") if c in df.columns]
+    return [list(r) for r in (back.orderBy(*order) if order else back).limit(REPORT_ROWS).collect()], seen.get["n"]
+
+
+def write_json(report: dict, path: str) -> None:
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(report, default=str, indent=2, ensure_ascii=False), "utf-8")
+
+
+def write_workbook(told: dict, sheets: dict[str, tuple[list, list, int]], folder: str) -> None:
+    """A summary, and sheets from (columns, first rows, rows in all); the summary says how many rows each sheet leaves out."""
+    left_out = [[f"Omitidos: {n}", count - len(rows)] for n, (_, rows, count) in sheets.items() if count > len(rows)]
+    summary = [list(x) for x in told.items()] + left_out
     Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "relatorio.json").write_text(json.dumps(rolled.first().asDict(), default=str, indent=2, ensure_ascii=False), "utf-8")
+    Path(folder, "relatorio.xlsx").write_bytes(workbook({"Resumo": (["campo", "valor"], summary)} | {n: (columns, rows) for n, (columns, rows, _) in sheets.items()}))
+
+
+def write_delivery(sent: DataFrame, failed: DataFrame, rolled: DataFrame, folder: str, details: DataFrame | None = None, run: dict | None = None) -> None:
+    """What went out, what didn't (fit to be sent again), a JSON report with what is known of the run, and a workbook: summary, sent, failed, and ``details`` (a row per line and outcome), the first REPORT_ROWS rows of each."""
+    tables = {"Enviados": (sent, "enviados.csv"), "Falhas": (failed, "falhas.csv")} | ({"Detalhes": (details, "detalhes.csv")} if details is not None else {})
+    heads = {n: (df.columns, *saved(df, f"{folder}/{file}")) for n, (df, file) in tables.items()}
+    told = (run or {}) | rolled.first().asDict()
+    write_json(told, f"{folder}/relatorio.json")
+    write_workbook(told, heads, folder)
 
 
 def write_extract(df: DataFrame, folder: str, source: str, pages: int, duration_ms: int) -> None:
-    save(df, f"{folder}/dados.csv")
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "relatorio.json").write_text(json.dumps({"total_registros": df.count(), "paginas": pages, "colunas": df.columns, "origem": source, "duracao_ms": duration_ms}, indent=2, ensure_ascii=False), "utf-8")
+    """The rows, a JSON report, and a workbook of a summary and the first REPORT_ROWS rows."""
+    rows, n = saved(df, f"{folder}/dados.csv")
+    report = {"total_registros": n, "paginas": pages, "colunas": df.columns, "origem": source, "duracao_ms": duration_ms}
+    write_json(report, f"{folder}/relatorio.json")
+    write_workbook({k: v for k, v in report.items() if k != "colunas"}, {"Dados": (df.columns, rows, n)}, folder)
 
 
 def write_profile(report: dict, path: str) -> None:

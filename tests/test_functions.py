@@ -81,6 +81,16 @@ def test_numbers(spark):
     assert votes == [[True, False], [False, False], [True, False], [False, True], [True, False]]
 
 
+def test_dates_follow_the_calendar_in_every_form(spark):
+    cases = {
+        "1/2/2020 3:4": "2020-02-01 03:04:00", "01/02/2020 03:04:05": "2020-02-01 03:04:05", "2020-2-1 3:4:5": "2020-02-01 03:04:05",
+        "1.2.2020": "2020-02-01 00:00:00", "1-2-2020 10:00": "2020-02-01 00:00:00", "2020/2/1 10:00": "2020-02-01 00:00:00",
+        "01/02/2020 25:00": "2020-02-01 00:00:00", "01/02/2020 foo": "2020-02-01 00:00:00", " 29/02/2024 ": "2024-02-29 00:00:00",
+        "29/02/2023": None, "1/2-2020": None, "2020.2.1": None, "1/13/2020": None, "0/1/2020": None, "01/02/0000": None, "01/02/20": None, "": None, None: None,
+    }
+    assert values(spark, list(cases), lambda c: parse.parse_date(c).cast("string")) == list(cases.values())
+
+
 def test_dates_bools_and_floats(spark):
     got = values(spark, ["01/12/2019", "2019-12-01 14:30", "31/02/2019", "1-2-2020", "2020/3/4", "x"], lambda c: parse.parse_date(c).cast("string"))
     assert got == ["2019-12-01 00:00:00", "2019-12-01 14:30:00", None, "2020-02-01 00:00:00", "2020-03-04 00:00:00", None]

@@ -321,6 +321,27 @@ def test_a_validation_workbook_tells_what_it_leaves_out(spark, tmp_path, monkeyp
     assert spark.read.option("header", True).csv(str(tmp_path / "registros_validos.csv")).count() == 5
 
 
+def test_reports_hold_the_run_the_issues_and_all_sheets(spark, tmp_path):
+    lines = spark.createDataFrame([(3, "c\nd", ["x"]), (2, "", ["y", "z"])], "line long, nome string, tags array<string>")
+    issues = spark.createDataFrame([(3, 0, "nome", "enum")], "line long, seq int, column string, code string")
+    run = {"task_name": "validar", "status": "partial", "duration_ms": 7, "rows_affected": 2}
+    sinks.write_validation(spark.createDataFrame([(2, 1)], "total long, erros long"), lines, lines.limit(0), issues, str(tmp_path / "v"), run)
+    report = json.loads((tmp_path / "v" / "relatorio.json").read_text("utf-8"))
+    assert report == run | {"total": 2, "erros": 1, "issues": [{"line": 3, "seq": 0, "column": "nome", "code": "enum"}], "issues_omitidas": 0}
+    rows, n = sinks.saved(lines, str(tmp_path / "saved.csv"))
+    assert n == 2 and rows == [[2, None, '["y","z"]'], [3, "c\nd", '["x"]']]
+    rolled = spark.createDataFrame([(1, 1, 1, "partial")], "sent long, failed long, resendable long, status string")
+    sinks.write_delivery(lines.filter("line = 2"), lines.filter("line = 3"), rolled, str(tmp_path / "d"), lines.select("line", F.lit("sucesso").alias("_resultado")), run)
+    with zipfile.ZipFile(tmp_path / "d" / "relatorio.xlsx") as z:
+        assert all(f">{k}<" in z.read("xl/worksheets/sheet1.xml").decode() for k in ("task_name", "resendable"))
+        assert len([n for n in z.namelist() if n.startswith("xl/worksheets/sheet")]) == 4
+    assert json.loads((tmp_path / "d" / "relatorio.json").read_text("utf-8")) == run | rolled.first().asDict()
+    sinks.write_extract(lines, str(tmp_path / "e"), "http://x", 4, 9)
+    assert json.loads((tmp_path / "e" / "relatorio.json").read_text("utf-8")) == {"total_registros": 2, "paginas": 4, "colunas": ["line", "nome", "tags"], "origem": "http://x", "duracao_ms": 9}
+    with zipfile.ZipFile(tmp_path / "e" / "relatorio.xlsx") as z:
+        assert "c\nd" in z.read("xl/worksheets/sheet2.xml").decode()
+
+
 def test_retries_wait_as_asked():
     waits, answers = [], iter([(429, "", {"Retry-After": "2"}), (500, "", {}), (200, "ok", {})])
     assert delivery.call(lambda p, h: next(answers), {}, {}, delivery.Retry(jitter=0.0), waits.append) == (200, "ok", 3) and waits == [2.0, 1.0]
