@@ -90,23 +90,23 @@ def blocks(docs: DataFrame, vocabulary: str, block_bytes: int = BLOCK_BYTES) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BLOCK)
 
 
-def piece_counts(slots: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows (slot, n) from rows (slot, pretoken): the pre-tokens come together and each is counted once."""
+def piece_counts(slots: DataFrame, vocabulary: str, parts: int) -> DataFrame:
+    """Rows (block, at, n) from rows (block, at, pretoken): the pre-tokens come together in ``parts`` partitions and each is counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, last = byte_bpe(vocabulary, "ids"), (None, 0)
         for batch in batches:
-            words = batch.column(1).dictionary_encode()
+            words = batch.column(2).dictionary_encode()
             distinct = words.dictionary.to_pylist()
             n = np.ones(len(distinct), np.int64)
             plain = [i for i, w in enumerate(distinct) if w not in bpe.special and w != last[0]]
             n[plain] = bpe.merge([distinct[i] for i in plain])[1]
             if distinct and distinct[0] == last[0]:
                 n[0] = last[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n[words.indices.to_numpy()].astype(np.int32))], names=["slot", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n[words.indices.to_numpy()].astype(np.int32))], names=["block", "at", "n"])
             last = (distinct[-1], n[-1]) if distinct else last
 
-    return slots.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(run, "slot long, n int")
+    return slots.repartition(parts, "pretoken").sortWithinPartitions("pretoken").mapInArrow(run, "block long, at int, n int")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
@@ -115,12 +115,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     Null and empty texts have 0 bytes and tokens; a null doc_id stays null; repeated rows are
     counted each; other columns are not looked at. An empty table gives none.
     """
-    made = stored(blocks(docs, vocabulary), "token-blocks")
+    spark, made = docs.sparkSession, stored(blocks(docs, vocabulary), "token-blocks")
+    # partitions grow with the blocks, whatever number the session has: about a block's list for each
+    parts = max(made.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     # a block has each of its pre-tokens once, so none has more rows than there are blocks
-    slots = made.select("block", F.posexplode("pretokens").alias("at", "pretoken")).select((F.shiftleft("block", 24) + F.col("at")).alias("slot"), "pretoken")
-    counts = piece_counts(slots, vocabulary).withColumn("block", F.shiftright("slot", 24))
+    slots = made.select("block", F.posexplode("pretokens").alias("at", "pretoken"))
     # one block's counts in order of its list, which is as long as the block has distinct pre-tokens
-    per_block = counts.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]).alias("n"))
+    counts = piece_counts(slots, vocabulary, parts).repartition(parts, "block")
+    per_block = counts.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
