@@ -35,6 +35,8 @@ BLOCK_ROWS = 2_000
 #: Fingerprints of an anchor from which its group is dealt into blocks.
 GROUP_ROWS = 20_000
 STEPS = 60
+#: Crowded anchors (16 bytes each) that are broadcast; more than these are joined by a shuffle.
+CROWDED_ROWS = 500_000
 
 
 def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
@@ -139,14 +141,16 @@ def dealt(prints: DataFrame, limit: int) -> DataFrame:
     """``replicated``, with the large groups in parts: each block of an anchor's owners meets each block of its comers in a group
     of its own, whose place is in the bits of ``anchor`` above the 32nd."""
     rows, large = replicated(prints), stored(crowded(prints, limit), "crowded")
-    if large.isEmpty():
+    n = large.count()
+    if not n:
         return rows
+    large = F.broadcast(large) if n <= CROWDED_ROWS else large.repartition("anchor")  # beyond, as in ``by_root``
     block, others = F.pmod(F.xxhash64("fp"), F.col("blocks")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     place = lambda owner, comer, own: F.struct((F.col("anchor") + owner * (1 << 32) + comer * (1 << 47)).alias("anchor"), own.alias("own"))
     came = F.transform(others, lambda o: place(o, block, F.lit(False)))
     owns = F.transform(others, lambda o: place(block, o, F.lit(True)))
     parts = F.when(F.col("blocks").isNull(), F.array(F.struct("anchor", "own"))).when(F.col("own"), F.concat(came, owns)).otherwise(came)
-    return rows.join(F.broadcast(large), "anchor", "left").select(F.explode(parts).alias("at"), "fp").select("at.anchor", "at.own", "fp")
+    return rows.join(large, "anchor", "left").select(F.explode(parts).alias("at"), "fp").select("at.anchor", "at.own", "fp")
 
 
 def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -245,13 +249,19 @@ def fingerprint_column(df: DataFrame, text: str, name: str) -> DataFrame:
     return append_columns(df, text, [T.StructField(name, T.LongType(), True)], lambda texts: [pa.array(fingerprints(texts).view(np.int64))])
 
 
+def by_root(rows: DataFrame, per_root: DataFrame) -> DataFrame:
+    """``rows`` joined with one row per root. Both sides come to the join straight from a shuffle, so that Spark can deal a root
+    that much of the corpus has to several tasks, each with a copy of that root's one row."""
+    return rows.repartition("root").join(per_root.repartition("root"), "root")
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """Rows (fp, root, component_id): each fingerprint's group and the smallest doc_id in it, from stored rows (doc_id, fp)."""
     prints = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fingerprints")
     root = components(links(prints))
     of = prints.join(root, prints["fp"] == root["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return of.join(least, "root").select("fp", "root", "component_id")
+    return by_root(of, least).select("fp", "root", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -283,7 +293,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     prints = marked.select(id_.alias("doc_id"), F.col(fp).alias("fp"), F.struct(id_.isNull(), id_, F.xxhash64(F.col("text").cast("string")), F.col(row)).alias("place"), F.col(row).alias("row"))
     of = prints.join(grouped(prints.select("doc_id", "fp")), "fp").select("root", "place", "row")
     first = of.groupBy("root").agg(F.min("place").alias("first"))
-    dropped = of.join(first, "root").filter("place <> first").select(F.col("row").alias(row))
+    dropped = by_root(of, first).filter("place <> first").select(F.col("row").alias(row))
     return marked.join(dropped, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 

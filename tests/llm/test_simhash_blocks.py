@@ -40,3 +40,16 @@ def test_large_anchors_are_dealt_into_blocks(spark):
     large = {r["anchor"]: r["blocks"] for r in simhash.crowded(prints, 40).collect()}
     assert {r["anchor"] for r in whole.collect() if r["count"] > 80} <= set(large) <= {r["anchor"] for r in whole.collect() if r["count"] > 40}
     assert largest > 400 and simhash.dealt(prints, 40).groupBy("anchor").count().agg(F.max("count")).first()[0] <= 4 * 40
+
+
+def test_crowded_anchors_without_a_broadcast(spark, monkeypatch):
+    """More crowded anchors than may be broadcast are joined by a shuffle, with the same links."""
+    from pyspark.sql import functions as F
+
+    from crivo.llm import simhash
+
+    df = spark.range(3_000).select((F.col("id") * 37 % 4096).alias("fp")).distinct()
+    least = lambda: {(r["node"], r["root"]) for r in simhash.components(simhash.links(df, limit=50)).collect()}
+    broadcast = least()
+    monkeypatch.setattr(simhash, "CROWDED_ROWS", 0)
+    assert broadcast and least() == broadcast
