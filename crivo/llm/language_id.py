@@ -12,10 +12,13 @@ text's logits are the mean of its words' sums, and a worker works out each disti
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,7 +111,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: int, n_places: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: int, n_places: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Weights (n_places, classes) and bias of sparse rows (places, values), by per-coordinate follow-the-regularised-leader."""
     z, n = np.zeros((n_places + 1, n_classes)), np.zeros((n_places + 1, n_classes))  # the last place is the bias
     order = np.random.default_rng(7)
@@ -119,7 +122,8 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: in
 
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
-            at, x = np.append(rows[k][0], n_places), np.append(rows[k][1], 1.0)
+            places, values = rows[k]
+            at, x = np.append(places, n_places), np.append(values, 1.0)
             w = weights(at)
             p = softmax((x @ w)[None])[0]
             p[y[k]] -= 1
@@ -135,27 +139,47 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: in
 SCALE = 200.0
 
 
+@dataclass
+class Weighted(Sequence):
+    """Rows (places among the used, TF-IDF values), each made when it is asked for: the sample is in memory once, as its counts."""
+
+    samples: list[tuple[str, np.ndarray, np.ndarray]]
+    number: np.ndarray  # of a place among the used
+    idf: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.samples)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        _, places, times = self.samples[k]
+        at = self.number[places]
+        return at, SCALE * times / max(1, times.sum()) * self.idf[at]
+
+
 def learn(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel | None:
     """The model of (language, places, counts) rows; every fifth row only sets the temperature. None without rows."""
     languages = sorted({s[0] for s in samples})
     if not languages:
         return None
     y = np.array([languages.index(s[0]) for s in samples])
-    # learning is over the places that the sample uses
-    used, where = np.unique(np.concatenate([s[1] for s in samples]), return_inverse=True)
-    cuts = np.cumsum([len(s[1]) for s in samples])[:-1]
-    where = np.split(where, cuts)
-    idf = np.log((1 + len(samples)) / (1 + np.bincount(np.concatenate(where), minlength=len(used)))) + 1
-    rows = [(at, SCALE * times / max(1, times.sum()) * idf[at]) for at, (_, _, times) in zip(where, samples, strict=True)]
+    # learning is over the places that the sample uses; a row has each of its places once
+    documents = np.zeros(PLACES, np.int64)
+    for _, places, _ in samples:
+        documents[places] += 1
+    used = np.flatnonzero(documents)
+    number = np.zeros(PLACES, np.int64)
+    number[used] = np.arange(len(used))
+    idf = np.log((1 + len(samples)) / (1 + documents[used])) + 1
+    rows = Weighted(samples, number, idf)
     held = np.arange(len(rows)) % 5 == 4
     if held.all() or not held.any() or len(set(y[~held])) < len(languages):
         held[:] = False
-    w, bias = ftrl([rows[k] for k in np.flatnonzero(~held)], y[~held], len(languages), len(used))
+    w, bias = ftrl(Weighted([x for x, h in zip(samples, held, strict=True) if not h], number, idf), y[~held], len(languages), len(used))
     weights = np.zeros((PLACES, len(languages)), np.float32)
     weights[used] = SCALE * idf[:, None] * w
     model = LanguageModel(languages, weights, bias)
     if held.any():
-        logits = np.stack([rows[k][1] @ w[rows[k][0]] + bias for k in np.flatnonzero(held)])
+        logits = np.stack([x @ w[at] + bias for at, x in map(rows.__getitem__, np.flatnonzero(held))])
         loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(logits)), y[held]], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.05, 50, 121), key=loss))
     return model
@@ -186,9 +210,16 @@ def train(docs: DataFrame, learnable: Column, max_learned: int = MAX_LEARNED) ->
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in lists]
 
     counted = append_columns(rows, "text", [T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.IntegerType()))], count)
-    sample = counted.select("doc_id", "lang", "places", "times").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    lists = [[np.asarray(v.values.to_numpy(zero_copy_only=False), np.int64) for c in sample.column(k).chunks for v in c] for k in (2, 3)]
-    return learn([x for x in zip(sample.column(1).to_pylist(), *lists, strict=True) if len(x[1])])
+    sample = counted.select("doc_id", "lang", "places", "times").toArrow()
+    order = pc.sort_indices(sample.select(["doc_id", "lang"]), [("doc_id", "ascending"), ("lang", "ascending")]).to_numpy()
+    lang = sample.column("lang").to_pylist()
+    # views of the lists as they came
+    places, times = ([v.values.to_numpy() for c in sample.column(k).chunks for v in c] for k in ("places", "times"))
+    model = learn([(lang[k], places[k], times[k]) for k in order.tolist() if len(places[k])])
+    del sample, places, times  # the driver keeps the model alone
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
