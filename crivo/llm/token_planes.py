@@ -18,11 +18,13 @@ sum over it gives every shard's first id.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,18 @@ from .common import Index, Rows, kept, ragged, shared_dir, slices, stored, table
 MAGIC = b"CRVPLN01"
 #: Ids in a block, and in a shard at most (a document is never cut, so one more document may follow).
 BLOCK_IDS, SHARD_IDS = 65_536, 16_000_000
-#: Bytes that a worker's words, and the parts that they share, may take, about, before they start anew.
+#: Bytes that a worker's words, and the parts that they share, may take each, about, before half of them go.
 CACHE_BYTES = 64_000_000
+#: Parts that go to the library as one text.
+JOINED = 64
+#: Words that are cut into parts at a time; what is no part, nor has ids, stands behind each.
+CUT_WORDS, BREAK = 1000, "\n"
 
 _BETWEEN = regex.compile(f"[{SPACES} ]+")
 
-# How the word-level vocabulary cuts its lower-cased text.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# How the word-level vocabulary marks the last token of a part, and how it cuts its lower-cased text.
+END = "</w>"
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 
 
 def filesystem(uri: str):
@@ -55,6 +62,37 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
 
 
+class _Cache:
+    """Rows of ids by text, numbered in order of first use, and how often each was used, so that a full cache keeps the half that pays most."""
+
+    def __init__(self) -> None:
+        self.index, self.rows, self.uses, self.n_bytes = defaultdict(itertools.count().__next__), Rows(), np.zeros(0, np.int64), 0
+
+    def numbers(self, texts: Iterator[str], n: int) -> tuple[np.ndarray, list[str]]:
+        """The row of each of ``n`` texts, and those that have none yet, whose rows ``rows.extend`` must get next."""
+        number = np.fromiter(map(self.index.__getitem__, texts), np.int64, n)
+        new = [*islice(reversed(self.index), len(self.index) - len(self.uses))][::-1]
+        self.n_bytes += sum(map(len, new)) + Index.ENTRY * len(new)
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)]) + np.bincount(number, minlength=len(self.index))
+        return number, new
+
+    def get(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return ragged(self.rows.flat, self.rows.offsets, number)
+
+    def trim(self) -> None:
+        """Beyond CACHE_BYTES, keeps the texts used most, up to half of that; older uses count half as much each time."""
+        if self.n_bytes <= CACHE_BYTES:
+            return
+        texts = list(self.index)
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + Index.ENTRY
+        order = np.argsort(-self.uses, kind="stable")
+        keep = np.sort(order[np.cumsum(size[order]) <= CACHE_BYTES // 2])
+        flat, lengths = self.get(keep)
+        self.index = defaultdict(itertools.count(len(keep)).__next__, ((texts[i], k) for k, i in enumerate(keep.tolist())))
+        self.rows, self.uses, self.n_bytes = Rows(), self.uses[keep] // 2, int(size[keep].sum())
+        self.rows.extend(flat, lengths)
+
+
 class WordEncoder:
     """The library's ids of whole texts, asked for once per distinct word of the worker's cache.
 
@@ -68,15 +106,12 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a word with other characters than these, or with a special token's string, goes to the library whole
-        self.whole = re.compile("|".join(["[^!-~\xa1-\u02ff]", *map(re.escape, self.special)])).search
-        self.word, self.word_rows, self.part, self.part_rows = Index(), Rows(), Index(), Rows()
-
-    def trim(self) -> None:
-        """Starts a cache anew that has grown beyond its bound; words go more often than the parts that many of them share."""
-        if self.word.n_bytes > CACHE_BYTES:
-            self.word, self.word_rows = Index(), Rows()
-        if self.part.n_bytes > CACHE_BYTES:
-            self.part, self.part_rows = Index(), Rows()
+        self.whole, self.any_whole = (re.compile("|".join([f"[^{more}!-~\xa1-\u02ff]", *map(re.escape, self.special)])).search for more in ("", BREAK))
+        vocab = self.tokenizer.get_vocab()
+        #: Which ids end a part.
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith(END)]] = True
+        self.word, self.part = _Cache(), _Cache()
 
     def words(self, text: str | None) -> list[str]:
         if not text:
@@ -89,27 +124,53 @@ class WordEncoder:
 
     def parts(self, word: str) -> list[str]:
         """A word's parts as the pattern cuts them; scripts in which normalising may do more stay whole."""
-        return [word] if self.whole(word) else _WORDS.findall(word.lower())
+        if not (word.isascii() and word.isalpha()) and self.whole(word):
+            return [word]
+        low = word.lower()
+        return [low] if low.isalpha() else _WORDS.findall(low)
+
+    def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of each text by itself."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts, which go to the library many to a call, with spaces between; every part's last id says that it ends one."""
+        plain = np.array([p.isascii() and p.isalpha() or not self.whole(p) for p in parts], bool)
+        if not plain.all():
+            ids, lengths = self.library([p for p, k in zip(parts, plain.tolist(), strict=True) if not k])
+            more, of = self.encode_parts([p for p, k in zip(parts, plain.tolist(), strict=True) if k])
+            row = np.where(plain, np.cumsum(plain) - 1 + len(lengths), np.cumsum(~plain) - 1)
+            return ragged(np.concatenate([ids, more]), np.concatenate([[0], np.cumsum(np.concatenate([lengths, of]))]), row)
+        ids, _ = self.library([" ".join(parts[a : a + JOINED]) for a in range(0, len(parts), JOINED)])
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(parts) or (len(ids) and last[-1] != len(ids) - 1):  # a vocabulary that marks ends in another way, or not all
+            return self.library(parts)
+        return ids, np.diff(last, prepend=-1)
+
+    def cut(self, words: list[str]) -> Iterator[str]:
+        """The parts of all words, BREAK behind each word's."""
+        for a in range(0, len(words), CUT_WORDS):
+            some = words[a : a + CUT_WORDS]
+            joined = BREAK.join(some) + BREAK
+            yield from (p for w in some for p in (*self.parts(w), BREAK)) if self.any_whole(joined) else _WORDS.findall(joined.lower())
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and how many each text has."""
-        self.trim()
+        self.word.trim()
+        self.part.trim()
         split = [self.words(t) for t in texts]
-        count = np.fromiter(map(len, split), np.int64, len(split))
-        number = np.fromiter(map(self.word.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
-        if self.word.new:
-            cut = [self.parts(w) for w in self.word.new]
-            per_word = np.fromiter(map(len, cut), np.int64, len(cut))
-            which = np.fromiter(map(self.part.__getitem__, chain.from_iterable(cut)), np.int64, int(per_word.sum()))
-            if self.part.new:
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.part.new, add_special_tokens=False)]
-                self.part_rows.extend(np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
-                self.part.new.clear()
-            flat, lengths = ragged(self.part_rows.flat, self.part_rows.offsets, which)
-            self.word_rows.extend(flat, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(per_word)])]))
-            self.word.new.clear()
-        ids, lengths = ragged(self.word_rows.flat, self.word_rows.offsets, number)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(count)])])
+        n_words = np.fromiter(map(len, split), np.int64, len(split))
+        number, new = self.word.numbers(chain.from_iterable(split), int(n_words.sum()))
+        if new:
+            cut = list(self.cut(new))
+            which, parts = self.part.numbers(cut, len(cut))
+            if parts:
+                self.part.rows.extend(*self.encode_parts(parts))
+            flat, lengths = self.part.get(which)
+            self.word.rows.extend(flat, np.diff(np.cumsum(lengths)[which == self.part.index[BREAK]], prepend=0))
+        ids, lengths = self.word.get(number)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n_words)])])
 
 
 def word_encoder(path: str) -> WordEncoder:

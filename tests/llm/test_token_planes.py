@@ -24,6 +24,38 @@ def test_encoder_is_the_library():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def test_every_character_below_0x300_and_some_words(monkeypatch):
+    t, own = Tokenizer.from_file(tp.default_vocabulary()), tp.WordEncoder(tp.default_vocabulary())
+    texts = [f"a{chr(c)}B {chr(c)} {chr(c)}{chr(c)}'s it'{chr(c)}ve 1{chr(c)}" for c in range(0x300)] + ["</w> a</w>b </W>", "漢字 end</w> かな。x", "€ 5€"]
+    for words in (1, 1000):
+        monkeypatch.setattr(tp, "CUT_WORDS", words)
+        ids, n = own.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        own.word, own.part = tp._Cache(), tp._Cache()
+
+
+class Counted:
+    """A tokenizer that keeps which words it was asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode_batch_fast(self, texts, **how):
+        self.asked += [w for x in texts for w in x.split()]
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_a_full_cache_keeps_the_words_used_most(monkeypatch):
+    monkeypatch.setattr(tp, "CACHE_BYTES", 20_000)
+    t, own = Tokenizer.from_file(tp.default_vocabulary()), tp.WordEncoder(tp.default_vocabulary())
+    own.tokenizer = asked = Counted(own.tokenizer)
+    rare = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) + "q" for i in range(5_000)]
+    for a in range(0, len(rare), 50):
+        text = "the cat. " * 20 + " ".join(rare[a : a + 50])
+        assert own.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert [asked.asked.count(w) for w in ("the", "cat", rare[0], rare[-1])] == [1, 1, 1, 1]
+
+
 def expected(rows, end=1):
     t, at, out = Tokenizer.from_file(tp.default_vocabulary()), 0, []
     for i, text in rows:
