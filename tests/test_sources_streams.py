@@ -2,12 +2,14 @@
 
 import csv
 import datetime
+import gc
 import io
 import json
 import re
 import zipfile
 from html import unescape
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -354,6 +356,27 @@ def test_all_links_and_paragraphs(spark, tmp_path):
     assert df.columns == ["page_id", "row", "paragraph", "heading", "link", "href"] and sorted(map(tuple, df.collect())) == want
 
 
+def test_a_scraped_page_leaves_no_tree_behind():
+    gc.collect()
+    gc.disable()
+    try:
+        rows = web.extract_rows("<div><p>a<p>b<a href=x>c</a></div>" * 50, "p, a", {"text": ":scope"})
+        assert len(rows) == 150 and web.next_link("<a href=n>x</a>", "http://a/", "a") == "http://a/n"
+        assert not any(type(o).__name__ == "Node" for o in gc.get_objects())
+    finally:
+        gc.enable()
+
+
+def test_scraped_rows_are_given_on_in_bounded_parts(spark):
+    pages = [(2**60 + 1, "<p>x</p>" * 1000), (None, "<p>no key</p>"), (3, None), (4, ""), (5, "<p>y" + "z" * 5000 + "</p><p>w</p>")]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in pages], pa.int64()), pa.array([h for _, h in pages], pa.string())], names=["page_id", "html"])
+    want = [(k, i, *cells) for k, h in pages for i, cells in enumerate(web.extract_rows(h, "p", {"text": ":scope"}))]
+    parts = list(web.scraped(batch, "p", {"text": ":scope"}, ["page_id", "row", "text"], 2_000))
+    assert max(p.num_rows for p in parts) <= 20 and [tuple(r.values()) for p in parts for r in p.to_pylist()] == want
+    df = web.scrape(spark.createDataFrame(pages, "page_id long, html string").coalesce(1), "p", {"text": ":scope"})
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
 def paged(page, per_page):
     data = [{"id": i, "sku": f"s{i}"} for i in range(47)][(page - 1) * per_page : page * per_page]
     return {"data": data, "page": page, "total_pages": -(-47 // per_page), "has_next": page * per_page < 47}
